@@ -8,12 +8,20 @@ after ``sortWithinPartitions`` then encodes (partition index, position).
 Cross-partition information travels through per-partition summary tables
 with at most one row per (partition, series) at a partition edge, so
 every broadcast below is bounded by the partition count, not the data.
+
+The range bounds come from a sample seeded by the RDD id, so two
+evaluations of the same plan may cut the partitions differently. The
+layout is therefore written once with a reliable ``checkpoint()`` (under
+``spark.checkpoint.dir``): every later branch reads the same partition
+ids, and a lost executor recomputes from that copy, not from a new sample.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sinter.session import checkpoint_root
+
 ID_BITS = 33
 POS_MASK = (1 << ID_BITS) - 1
 _KEY = "_sq_key"
@@ -36,8 +44,10 @@ def layout(df: DataFrame, order, key=None, partitions: int | None = None) -> Dat
     x = (x.repartitionByRange(_n_partitions(df, partitions), *full)
          .sortWithinPartitions(*full)
          .withColumn("_mid", F.monotonically_increasing_id()))
-    return x.withColumns({"_pid": F.shiftright("_mid", ID_BITS),
-                          "_pos": F.col("_mid").bitwiseAND(F.lit(POS_MASK))})
+    x = x.withColumns({"_pid": F.shiftright("_mid", ID_BITS),
+                       "_pos": F.col("_mid").bitwiseAND(F.lit(POS_MASK))})
+    checkpoint_root(df.sparkSession)
+    return x.checkpoint(eager=True)
 
 
 def _drop_internal(df: DataFrame) -> DataFrame:
@@ -96,32 +106,50 @@ def _edge_carry(x: DataFrame, cols, forward: bool) -> DataFrame:
     return carry
 
 
-def _fill(df: DataFrame, order, cols, key, partitions, forward: bool) -> DataFrame:
-    cols = list(cols)
+def fill(df: DataFrame, order, forward=(), backward=(), key=None,
+         partitions: int | None = None) -> DataFrame:
+    """Forward-fill ``forward`` and backward-fill ``backward`` columns over one
+    shared layout. A column in both lists gets ffill then bfill (leading gap
+    takes the first value)."""
+    forward, backward = list(forward), list(backward)
     x = layout(df, order, key, partitions)
-    carry = _edge_carry(x, cols, forward)
+    y = x
     if forward:
         w = (Window.partitionBy("_pid", _KEY).orderBy("_pos")
              .rowsBetween(Window.unboundedPreceding, 0))
-        local = {c: F.last(c, ignorenulls=True).over(w) for c in cols}
-    else:
+        y = y.withColumns({f"_f_{c}": F.last(c, ignorenulls=True).over(w) for c in forward})
+        carry = _edge_carry(x, forward, True).select(
+            "_pid", _KEY, *[F.col(f"_carry_{c}").alias(f"_fc_{c}") for c in forward])
+        y = y.join(F.broadcast(carry), ["_pid", _KEY], "left")
+    if backward:
         w = (Window.partitionBy("_pid", _KEY).orderBy("_pos")
              .rowsBetween(0, Window.unboundedFollowing))
-        local = {c: F.first(c, ignorenulls=True).over(w) for c in cols}
-    y = x.withColumns(local)
-    y = y.join(F.broadcast(carry), ["_pid", _KEY], "left")
-    y = y.withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in cols})
-    return _drop_internal(y.drop(*[f"_carry_{c}" for c in cols]))
+        y = y.withColumns({f"_b_{c}": F.first(c, ignorenulls=True).over(w) for c in backward})
+        carry = _edge_carry(x, backward, False).select(
+            "_pid", _KEY, *[F.col(f"_carry_{c}").alias(f"_bc_{c}") for c in backward])
+        y = y.join(F.broadcast(carry), ["_pid", _KEY], "left")
+    out = {}
+    for c in set(forward) | set(backward):
+        parts = []
+        if c in forward:
+            parts += [F.col(f"_f_{c}"), F.col(f"_fc_{c}")]
+        if c in backward:
+            parts += [F.col(f"_b_{c}"), F.col(f"_bc_{c}")]
+        out[c] = F.coalesce(*parts)
+    y = y.withColumns(out)
+    tmp = [f"_{p}_{c}" for c in forward for p in ("f", "fc")] + \
+          [f"_{p}_{c}" for c in backward for p in ("b", "bc")]
+    return _drop_internal(y.drop(*tmp))
 
 
 def ffill(df: DataFrame, order, cols, key=None, partitions: int | None = None) -> DataFrame:
     """Carry the last non-null value forward along ``order``."""
-    return _fill(df, order, cols, key, partitions, forward=True)
+    return fill(df, order, forward=cols, key=key, partitions=partitions)
 
 
 def bfill(df: DataFrame, order, cols, key=None, partitions: int | None = None) -> DataFrame:
     """Carry the next non-null value backward (looks into the future)."""
-    return _fill(df, order, cols, key, partitions, forward=False)
+    return fill(df, order, backward=cols, key=key, partitions=partitions)
 
 
 def _micros(ts: Column) -> Column:
@@ -141,8 +169,8 @@ def interpolate_time(df: DataFrame, ts: str, order, cols, key=None,
              for c in cols}
     y = df.withColumns(known)
     y = y.withColumns({f"_n_{c}": F.col(f"_p_{c}") for c in cols})
-    y = ffill(y, order, [f"_p_{c}" for c in cols], key, partitions)
-    y = bfill(y, order, [f"_n_{c}" for c in cols], key, partitions)
+    y = fill(y, order, forward=[f"_p_{c}" for c in cols], backward=[f"_n_{c}" for c in cols],
+             key=key, partitions=partitions)
     out = {}
     for c in cols:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
