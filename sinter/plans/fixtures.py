@@ -145,3 +145,12 @@ def block_table(spark: SparkSession, sf_dir: str, every: str = "1 hour") -> Data
               .pivot("event_type", list(SENSORS)).agg(F.median("value")))
     return blocks.select("ts", *[F.col(s).alias(f"{s}_mediana") for s in SENSORS if s != "purchase"],
                          F.col("purchase").alias("purchase_laudo"))
+
+
+def event_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4e: a prediction table with a unique time order (ts, event_id): one
+    'model' per event type, predicted off by (user_id % 21 - 10) percent."""
+    ev = table(spark, sf_dir, "events")
+    pred = F.col("value") * (F.lit(1.0) + ((F.col("user_id") % 21) - 10) / F.lit(100.0))
+    return ev.select("event_id", "ts", F.col("event_type").alias("model"),
+                     F.col("value").alias("actual"), pred.alias("predicted"))

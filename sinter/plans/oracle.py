@@ -125,3 +125,8 @@ def profile_sql(src: str, by: str, cols, where: str = "TRUE") -> str:
         parts += [f"count({c}) AS {c}_count", f"{rnd3(f'avg({c})')} AS {c}_mean",
                   f"{rnd3(f'stddev_samp({c})')} AS {c}_std", f"{rnd3(f'median({c})')} AS {c}_median"]
     return f"SELECT {by}, " + ", ".join(parts) + f" FROM {src} WHERE {where} GROUP BY {by}"
+
+EVENT_PREDS = """epreds AS (
+  SELECT event_id, ts, event_type AS model, value AS actual,
+    value * (1.0 + ((user_id % 21) - 10) / 100.0) AS predicted
+  FROM events)"""

@@ -1 +1,157 @@
-"""Queries (filled in below)."""
+"""Queries: features, conformal intervals, models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sinter.functions import metrics as M
+from sinter.functions.clean import round6
+from sinter.operators import conformal as CF, features as FE, models as MD, split as SP
+from sinter.operators.sequence import row_number
+from sinter.plans import fixtures as FX, oracle as O
+from sinter.plans.catalog import register
+
+SENS = FX.SENSORS
+
+
+def _hourly_split(spark, sf_dir):
+    h = FX.hourly_sensors(spark, sf_dir)
+    return SP.chrono_split(h, ["ts"], test_frac=0.2)
+
+
+_HOURLY_TRAIN = O.with_(O.HOURLY) + """
+, r AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn, count(*) OVER () AS n FROM hourly),
+tr AS (SELECT * FROM r WHERE rn <= n - CAST(ceil(0.2 * n) AS BIGINT))"""
+
+
+def _std_sql():
+    stats = ", ".join(f"avg({s}) AS m_{s}, stddev_pop({s}) AS s_{s}" for s in SENS)
+    cols = ", ".join(
+        f"round(({s} - m_{s}) / CASE WHEN s_{s} = 0 OR s_{s} IS NULL THEN 1 ELSE s_{s} END, 6) AS {s}"
+        for s in SENS)
+    return _HOURLY_TRAIN + f", st AS (SELECT {stats} FROM tr)\nSELECT ts, {cols} FROM r, st"
+
+
+@register("standardise", _std_sql(), covers=("M1", "W7"))
+def standardise(spark, sf_dir):
+    s = _hourly_split(spark, sf_dir)
+    stats = FE.fit_standardiser(s, SENS, where=F.col("split") == "train")
+    z = FE.apply_standardiser(s, stats)
+    return z.select("ts", *[round6(c).alias(c) for c in SENS])
+
+
+def _impute_sql():
+    stats = ", ".join(f"avg({s}) AS m_{s}" for s in SENS)
+    cols = ", ".join(f"round(coalesce({s}, m_{s}), 6) AS {s}" for s in SENS)
+    return _HOURLY_TRAIN + f", st AS (SELECT {stats} FROM tr)\nSELECT ts, {cols} FROM r, st"
+
+
+@register("impute_mean", _impute_sql(), covers=("M2",))
+def impute_mean(spark, sf_dir):
+    s = _hourly_split(spark, sf_dir)
+    model = FE.imputer(SENS).fit(s.filter(F.col("split") == "train"))
+    z = model.transform(s)
+    return z.select("ts", *[round6(c).alias(c) for c in SENS])
+
+
+@register("one_hot_cluster", O.with_(O.REGRESSION) + """
+SELECT cluster, CAST(cluster = 0 AS DOUBLE) AS cluster_0, CAST(cluster = 1 AS DOUBLE) AS cluster_1,
+  count(*) AS n FROM reg GROUP BY ALL""", covers=("M3",))
+def one_hot_cluster(spark, sf_dir):
+    r = FX.planted_regression(spark, sf_dir)
+    levels = FE.fit_levels(r, "cluster", where=F.col("cluster") < 2)   # regime 2 unseen
+    z = FE.apply_one_hot(r, levels)
+    return z.groupBy("cluster", *[f"cluster_{v}" for v in levels]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("linear_fit", O.with_(O.REGRESSION) + """
+SELECT round(regr_slope(label, quantity), 6) AS slope, round(regr_intercept(label, quantity), 6) AS intercept,
+  count(*) AS n FROM reg""", covers=("M8",))
+def linear_fit(spark, sf_dir):
+    from pyspark.ml.feature import VectorAssembler
+    r = FX.planted_regression(spark, sf_dir)
+    v = VectorAssembler(inputCols=["quantity"], outputCol="features").transform(r)
+    fitted = MD.linear_model().setLabelCol("label").fit(v)
+    n = fitted.summary.numInstances
+    return spark.createDataFrame(
+        [(float(fitted.coefficients[0]), float(fitted.intercept), int(n))],
+        "slope double, intercept double, n long").select(
+        round6("slope").alias("slope"), round6("intercept").alias("intercept"), "n")
+
+
+def _conformal_split(spark, sf_dir):
+    """Per model: test = last ceil(0.2 n) rows by time, cal = last
+    ceil(0.1 n_train) of the rest (W7, W8 per group)."""
+    p = FX.event_predictions(spark, sf_dir)
+    p = row_number(p, ["ts", "event_id"], "rn", key="model")
+    n = p.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("n_train", F.col("n") - F.ceil(F.col("n") * 0.2))
+    n = n.withColumn("n_cal", F.ceil(F.col("n_train") * 0.1))
+    p = p.join(F.broadcast(n), "model")           # one row per model
+    return p.withColumn("split", F.when(F.col("rn") > F.col("n_train"), "test")
+                        .when(F.col("rn") > F.col("n_train") - F.col("n_cal"), "cal")
+                        .otherwise("train"))
+
+
+_CONF_SQL = O.with_(O.EVENT_PREDS) + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts, event_id) AS rn,
+               count(*) OVER (PARTITION BY model) AS n FROM epreds),
+s AS (SELECT *, n - CAST(ceil(n * 0.2) AS BIGINT) AS n_train FROM r),
+l AS (SELECT *, CASE WHEN rn > n_train THEN 'test'
+                     WHEN rn > n_train - CAST(ceil(n_train * 0.1) AS BIGINT) THEN 'cal' ELSE 'train' END AS split
+      FROM s),
+cal AS (SELECT model, abs(actual - predicted) AS res,
+               row_number() OVER (PARTITION BY model ORDER BY abs(actual - predicted)) - 1 AS i,
+               count(*) OVER (PARTITION BY model) AS n_cal FROM l WHERE split = 'cal'),
+lv AS (SELECT DISTINCT model, n_cal,
+         ceil((n_cal + 1) * (1.0::DOUBLE - 0.05::DOUBLE)) / n_cal AS level FROM cal),
+pos AS (SELECT model, n_cal, level, level * (n_cal - 1) AS x FROM lv),
+q AS (SELECT p.model, p.n_cal, p.level,
+        max(CASE WHEN c.i = floor(p.x) THEN c.res END) AS lo_v,
+        max(CASE WHEN c.i = ceil(p.x) THEN c.res END) AS hi_v, max(p.x) AS x
+      FROM pos p JOIN cal c ON c.model = p.model GROUP BY p.model, p.n_cal, p.level),
+qh AS (SELECT model, n_cal, level, lo_v + (x - floor(x)) * (hi_v - lo_v) AS q_hat FROM q)
+SELECT qh.model, qh.n_cal, round(qh.level, 6) AS level, round(qh.q_hat, 6) AS q_hat,
+  count(*) AS n_test,
+  round(avg(CAST(t.actual BETWEEN t.predicted - qh.q_hat AND t.predicted + qh.q_hat AS DOUBLE)), 6) AS coverage
+FROM qh JOIN l t ON t.model = qh.model AND t.split = 'test'
+GROUP BY qh.model, qh.n_cal, qh.level, qh.q_hat"""
+
+
+@register("conformal_intervals", _CONF_SQL, covers=("M9", "W8", "E8"))
+def conformal_intervals(spark, sf_dir):
+    p = _conformal_split(spark, sf_dir)
+    q = CF.q_hat(p.filter(F.col("split") == "cal"), by=["model"], alpha=0.05)
+    t = CF.intervals(p.filter(F.col("split") == "test"), q)
+    cov = t.groupBy("model").agg(F.count(F.lit(1)).alias("n_test"),
+                                 M.coverage("actual", "lower", "upper").alias("coverage"))
+    return (q.join(cov, "model")
+            .select("model", "n_cal", round6("level").alias("level"), round6("q_hat").alias("q_hat"),
+                    "n_test", round6("coverage").alias("coverage")))
+
+
+FEATURES = ("quantity", "discount", "tax")
+
+
+def _seeded_regression(spark, sf_dir):
+    r = FX.planted_regression(spark, sf_dir)
+    s = SP.seeded_split(r, "row_id", test_frac=0.3, seed=42)
+    return s.checkpoint(eager=True)     # split once, reused by every model
+
+
+@register("compare_models", covers=("M4", "M6", "M8", "M10", "W9", "E1", "E4", "E6", "E9"))
+def compare_models(spark, sf_dir):
+    """Boosting defaults and OLS on the same seeded split; the full union
+    grid (forest 300, booster 400) is ``MD.model_specs('union')``."""
+    specs = {"GradientBoosting": MD.model_specs("union")["GradientBoosting"],
+             "Linear": MD.linear_model}
+    return MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
+                      cluster="cluster", specs=specs, method="returnflag", period="all")
+
+
+@register("forest_model", covers=("M4", "M5", "M10"))
+def forest_model(spark, sf_dir):
+    """The conformal notebook's forest (100 trees) on the seeded split."""
+    specs = {"RandomForest": MD.model_specs("conformal", rf_depth=8)["RandomForest"]}
+    return MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
+                      cluster="cluster", specs=specs, method="returnflag", period="all")

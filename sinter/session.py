@@ -16,6 +16,10 @@ from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    # local mode runs everything in the driver JVM; on a cluster the
+    # deployment sets executor memory instead
+    "spark.driver.memory": "16g",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
