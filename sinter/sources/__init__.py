@@ -1,0 +1,3 @@
+from sinter.sources import delimited, sinks
+
+__all__ = ["delimited", "sinks"]
