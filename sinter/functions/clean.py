@@ -53,8 +53,15 @@ def to_number(c) -> Column:
 
 
 def clean_number(c, sentinels=(SENTINEL,)) -> Column:
-    """The full text-cell chain: comma, sentinel, trim/blank, guarded cast."""
-    return to_number(blank_to_null(null_sentinels(decimal_comma(c), sentinels)))
+    """The full text-cell chain: comma -> sentinel -> trim/blank -> guarded
+    cast, written flat so each column's expression tree stays small (the
+    composed form repeats its input at every step). Same result as
+    ``to_number(blank_to_null(null_sentinels(decimal_comma(c))))``: an empty
+    cell never matches the number pattern."""
+    dotted = decimal_comma(c)
+    t = F.trim(dotted)
+    return (F.when(dotted.isin(list(sentinels)), F.lit(None).cast("double"))
+            .when(t.rlike(NUMBER_PATTERN), t.try_cast("double")))
 
 
 def strict_number(c, dtype: str = "float") -> Column:

@@ -26,11 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def decimal_text(x) -> Column:
-    """A non-negative 2-decimal double as text with a decimal comma, built
-    from integer cents so both engines print the same string."""
-    cents = F.round(F.col(x) * 100).cast("bigint") if isinstance(x, str) else F.round(x * 100).cast("bigint")
-    return F.concat((cents.cast("long") / 100).cast("long").cast("string"), F.lit(","),
-                    F.lpad((cents % 100).cast("string"), 2, "0"))
+    """A non-negative double with two decimals as text with a decimal comma
+    (printf '%.2f' prints the same digits in both engines)."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.replace(F.format_string("%.2f", x), F.lit("."), F.lit(","))
 
 
 def messy_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

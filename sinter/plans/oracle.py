@@ -16,9 +16,7 @@ def q(s: str) -> str:
 
 
 def dec_text(x: str) -> str:
-    cents = f"CAST(round({x} * 100) AS BIGINT)"
-    return (f"(CAST({cents} // 100 AS VARCHAR) || ',' || "
-            f"lpad(CAST({cents} % 100 AS VARCHAR), 2, '0'))")
+    return f"replace(printf('%.2f', {x}), '.', ',')"
 
 
 def clean_num(x: str) -> str:
