@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None, covers: tuple[str, ...] = ()):
 
 def load_all() -> None:
     # importing the modules fills the registry
-    from sinter.plans import q_clean, q_series, q_metrics, q_models, q_cluster, q_sources, flagship  # noqa: F401
+    from sinter.plans import q_clean, q_series, q_metrics, q_models, q_cluster, q_sources, flagship, q_flows  # noqa: F401
