@@ -51,7 +51,7 @@ def metrics_sink(spark, sf_dir):
     return D.read_typed(spark, path, t.schema, sep=",")
 
 
-@register("conformal_models", covers=("M5", "M7", "M9", "M10", "W7", "W8", "E2", "E4", "E7",
+@register("conformal_models", covers=("P8", "M5", "M7", "M9", "M10", "W7", "W8", "E2", "E4", "E7",
                                        "E8", "E9", "S7", "W4"))
 def conformal_models(spark, sf_dir):
     h = FX.hourly_sensors(spark, sf_dir)
