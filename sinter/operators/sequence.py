@@ -95,8 +95,11 @@ def _edge_carry(x: DataFrame, cols, forward: bool) -> DataFrame:
         carried = [F.last(c, ignorenulls=True).over(w).alias(f"_carry_{c}") for c in cols]
         edge = Window.partitionBy("_pid").orderBy("_lo")
     else:
-        w = Window.partitionBy(_KEY).orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
-        carried = [F.first(c, ignorenulls=True).over(w).alias(f"_carry_{c}") for c in cols]
+        # running frame over the reversed order (an UNBOUNDED FOLLOWING frame
+        # is re-aggregated for every row)
+        w = (Window.partitionBy(_KEY).orderBy(F.col("_pid").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+        carried = [F.last(c, ignorenulls=True).over(w).alias(f"_carry_{c}") for c in cols]
         edge = Window.partitionBy("_pid").orderBy(F.col("_hi").desc())
     carry = summ.select("_pid", _KEY, "_lo", "_hi", *carried)
     # only the first (forward) / last (backward) key of a partition can
@@ -122,9 +125,9 @@ def fill(df: DataFrame, order, forward=(), backward=(), key=None,
             "_pid", _KEY, *[F.col(f"_carry_{c}").alias(f"_fc_{c}") for c in forward])
         y = y.join(F.broadcast(carry), ["_pid", _KEY], "left")
     if backward:
-        w = (Window.partitionBy("_pid", _KEY).orderBy("_pos")
-             .rowsBetween(0, Window.unboundedFollowing))
-        y = y.withColumns({f"_b_{c}": F.first(c, ignorenulls=True).over(w) for c in backward})
+        w = (Window.partitionBy("_pid", _KEY).orderBy(F.col("_pos").desc())
+             .rowsBetween(Window.unboundedPreceding, 0))
+        y = y.withColumns({f"_b_{c}": F.last(c, ignorenulls=True).over(w) for c in backward})
         carry = _edge_carry(x, backward, False).select(
             "_pid", _KEY, *[F.col(f"_carry_{c}").alias(f"_bc_{c}") for c in backward])
         y = y.join(F.broadcast(carry), ["_pid", _KEY], "left")

@@ -27,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def decimal_text(x) -> Column:
     """A non-negative double with two decimals as text with a decimal comma
-    (printf '%.2f' prints the same digits in both engines)."""
+    (via DECIMAL(14,2), printed the same way by both engines)."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.replace(F.format_string("%.2f", x), F.lit("."), F.lit(","))
+    return F.replace(x.cast("decimal(14,2)").cast("string"), F.lit("."), F.lit(","))
 
 
 def messy_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def q(s: str) -> str:
 
 
 def dec_text(x: str) -> str:
-    return f"replace(printf('%.2f', {x}), '.', ',')"
+    return f"replace(CAST(CAST({x} AS DECIMAL(14, 2)) AS VARCHAR), '.', ',')"
 
 
 def clean_num(x: str) -> str:
