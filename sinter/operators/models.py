@@ -36,7 +36,7 @@ def model_specs(grid: str = "union", rf_depth: int = 12, max_bins: int = 32,
     (100 x 0.3, depth 6). Spark trees stop at depth 30; the reference grows
     forests to purity, so the forest depth is a parameter.
     """
-    mem = 512  # MiB of node statistics per pass: fewer passes for wide forests
+    mem = 256  # MiB of node statistics per task and pass (Spark default)
     if grid == "union":
         trees = rf_trees or RF_TREES
         return {
