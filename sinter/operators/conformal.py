@@ -1,11 +1,9 @@
 """Inductive conformal prediction (M9).
 
 q_hat per group is the linear-interpolated quantile of the absolute
-calibration residuals at level ceil((n + 1)(1 - alpha)) / n. Spark's exact
-``percentile`` needs a constant level, so the levels of all groups go in
-as one literal array and each group picks its own element: one grouped
-aggregate (partial value->count maps merged after the shuffle), never a
-sort of a whole group in one task.
+calibration residuals at level ceil((n + 1)(1 - alpha)) / n, a per-group
+level column fed to ``quantiles.exact_quantiles`` (distributed selection:
+no group's residuals are gathered in one task).
 """
 
 from __future__ import annotations
@@ -27,35 +25,28 @@ def conformal_level(n: int, alpha: float) -> float:
 def q_hat(cal: DataFrame, by=("model",), y: str = "actual", p: str = "predicted",
           alpha: float = 0.05) -> DataFrame:
     """Per group: n_cal, level and q_hat from calibration rows."""
+    from sinter.operators.quantiles import exact_quantiles
     by = list(by)
-    counts = cal.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cal")).collect()
-    if not counts:
+    lv = (cal.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cal"))
+          .withColumn("level", F.ceil((F.col("n_cal") + 1) * F.lit(1 - alpha)) / F.col("n_cal"))
+          .checkpoint(eager=True))
+    bad = lv.filter(F.col("level") > 1).limit(1).collect()
+    if bad:
+        n = bad[0]["n_cal"]
+        raise ValueError(
+            f"calibration set of {n} rows is too small for alpha={alpha}: level "
+            f"{bad[0]['level']:.4f} > 1 (need n >= {math.ceil(1 / alpha) - 1})")
+    if lv.isEmpty():
         raise ValueError("empty calibration set")
-    levels = {}
-    for r in counts:
-        levels[tuple(r[c] for c in by)] = conformal_level(r["n_cal"], alpha)
-    distinct = sorted(set(levels.values()))
-    pos = {lv: i + 1 for i, lv in enumerate(distinct)}
-    # group -> 1-based index into the literal level array
-    pick = None
-    for key, lv in levels.items():
-        cond = None
-        for c, v in zip(by, key):
-            part = F.col(c).eqNullSafe(F.lit(v))
-            cond = part if cond is None else cond & part
-        pick = F.when(cond, F.lit(pos[lv])) if pick is None else pick.when(cond, F.lit(pos[lv]))
-    resid = F.abs(F.col(y) - F.col(p))
-    q = (cal.groupBy(*by)
-         .agg(F.count(F.lit(1)).alias("n_cal"),
-              F.percentile(resid, F.array(*[F.lit(v) for v in distinct])).alias("_qs")))
-    q = q.withColumn("_i", pick)
-    return (q.withColumn("level", F.element_at(F.array(*[F.lit(v) for v in distinct]), F.col("_i")))
-            .withColumn("q_hat", F.element_at("_qs", F.col("_i")))
-            .drop("_qs", "_i"))
+    resid = cal.select(*by, F.abs(F.col(y) - F.col(p)).alias("_res")).join(lv, by)
+    q = exact_quantiles(resid, by, "_res", prob_col="level")
+    return q.select(*by, F.col("n").alias("n_cal"), F.col("p").alias("level"),
+                    F.col("q").alias("q_hat"))
 
 
 def intervals(pred: DataFrame, qhat: DataFrame, by=("model",), p: str = "predicted") -> DataFrame:
-    """predicted -/+ q_hat (q table: one row per group, broadcast)."""
+    """predicted -/+ q_hat (one row per group; AQE broadcasts it at run
+    time when it is under the size threshold, else it is a shuffle join)."""
     q = qhat.select(*by, "q_hat")
-    return (pred.join(F.broadcast(q), list(by), "left")
+    return (pred.join(q, list(by), "left")
             .withColumns({"lower": F.col(p) - F.col("q_hat"), "upper": F.col(p) + F.col("q_hat")}))

@@ -18,8 +18,15 @@ STATS = ("count", "mean", "std", "median")
 def profile(df: DataFrame, by: str = "cluster", cols=None, digits: int | None = 3,
             stats=STATS) -> DataFrame:
     """A1: count, mean, sample std and median of every numeric column per
-    group, flat names ``<col>_<stat>``, rounded half-even to ``digits``."""
+    group, flat names ``<col>_<stat>``, rounded half-even to ``digits``.
+
+    count / mean / std are one grouped aggregate; medians come from
+    ``quantiles.exact_median`` over the columns stacked long, so no group's
+    values are gathered in one task. Rows with a null group key are left
+    out, as pandas ``groupby`` does."""
+    from sinter.operators.quantiles import exact_median
     cols = [c for c in (cols or numeric_columns(df)) if c != by]
+    df = df.filter(F.col(by).isNotNull())
 
     def rnd(x):
         return round_half_even(x, digits) if digits is not None else x
@@ -33,11 +40,19 @@ def profile(df: DataFrame, by: str = "cluster", cols=None, digits: int | None =
                 aggs.append(rnd(F.avg(c)).alias(f"{c}_mean"))
             elif s == "std":
                 aggs.append(rnd(F.stddev_samp(c)).alias(f"{c}_std"))
-            elif s == "median":
-                aggs.append(rnd(F.median(c)).alias(f"{c}_median"))
-            else:
+            elif s != "median":
                 raise ValueError(f"unknown statistic {s}")
-    return df.groupBy(by).agg(*aggs)
+    out = df.groupBy(by).agg(*aggs)
+    if "median" in stats and cols:
+        long = df.select(by, F.explode(F.array(*[
+            F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols]))
+            .alias("_s")).select(by, "_s._col", "_s._v")
+        med = exact_median(long, [by, "_col"], "_v")
+        wide = med.groupBy(by).pivot("_col", cols).agg(F.first("median"))
+        wide = wide.select(by, *[rnd(F.col(c)).alias(f"{c}_median") for c in cols])
+        out = out.join(wide, by, "left")
+    order = [by] + [f"{c}_{s}" for c in cols for s in stats]
+    return out.select(*order)
 
 
 def period_stats(df: DataFrame, ts: str) -> DataFrame:
@@ -66,3 +81,19 @@ def rank_results(df: DataFrame, by=("model",), metric: str = "mape") -> DataFram
     w = Window.partitionBy(*by).orderBy(F.col(metric).asc_nulls_last()) if by else \
         Window.orderBy(F.col(metric).asc_nulls_last())
     return df.withColumn("rank", F.row_number().over(w))
+
+
+def block_medians(df: DataFrame, ts: str, key: str, value, every: str = "1 day",
+                  keys=None, suffix: str = "") -> DataFrame:
+    """Tumbling time blocks, one exact median column per key value
+    (``<key><suffix>``); blocks without a value for a key are null."""
+    from sinter.operators.quantiles import exact_median
+    v = F.col(value) if isinstance(value, str) else value
+    long = df.select(F.window(ts, every).start.cast("timestamp_ntz").alias("_blk"),
+                     F.col(key).alias("_key"), v.alias("_v"))
+    med = exact_median(long, ["_blk", "_key"], "_v")
+    blocks = long.select("_blk").distinct()
+    wide = med.groupBy("_blk").pivot("_key", list(keys) if keys else None).agg(F.first("median"))
+    out = blocks.join(wide, "_blk", "left")
+    names = list(keys) if keys else [c for c in wide.columns if c != "_blk"]
+    return out.select(F.col("_blk").alias(ts), *[F.col(k).alias(f"{k}{suffix}") for k in names])

@@ -55,13 +55,12 @@ def messy_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_sensors(spark: SparkSession, sf_dir: str, plant_zeros: bool = False) -> DataFrame:
     """B2: one row per hour, one median column per event type (gaps = null)."""
+    from sinter.operators.profile import block_medians
     ev = table(spark, sf_dir, "events")
     v = F.col("value")
     if plant_zeros:
         v = F.when(F.col("event_id") % 29 == 0, F.lit(0.0)).otherwise(v)
-    return (ev.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
-                      "event_type", v.alias("value"))
-            .groupBy("ts").pivot("event_type", list(SENSORS)).agg(F.median("value")))
+    return block_medians(ev, "ts", "event_type", v, "1 hour", keys=SENSORS)
 
 
 def irregular_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,9 +138,9 @@ def block_table(spark: SparkSession, sf_dir: str, every: str = "1 hour") -> Data
     """Block medians per sensor (``*_mediana``) plus a lab value
     (``purchase_laudo``, the purchase median) that is missing in blocks
     without a purchase."""
+    from sinter.operators.profile import block_medians
     ev = table(spark, sf_dir, "events")
-    blocks = (ev.groupBy(F.window("ts", every).start.cast("timestamp_ntz").alias("ts"))
-              .pivot("event_type", list(SENSORS)).agg(F.median("value")))
+    blocks = block_medians(ev, "ts", "event_type", "value", every, keys=SENSORS)
     return blocks.select("ts", *[F.col(s).alias(f"{s}_mediana") for s in SENSORS if s != "purchase"],
                          F.col("purchase").alias("purchase_laudo"))
 

@@ -87,7 +87,7 @@ def _conformal_split(spark, sf_dir):
     n = p.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     n = n.withColumn("n_train", F.col("n") - F.ceil(F.col("n") * 0.2))
     n = n.withColumn("n_cal", F.ceil(F.col("n_train") * 0.1))
-    p = p.join(F.broadcast(n), "model")           # one row per model
+    p = p.join(n, "model")          # one row per model; AQE broadcasts it when small
     return p.withColumn("split", F.when(F.col("rn") > F.col("n_train"), "test")
                         .when(F.col("rn") > F.col("n_train") - F.col("n_cal"), "cal")
                         .otherwise("train"))
