@@ -80,3 +80,4 @@ def union_train(spark, sf_dir):
     s = SP.seeded_split(u, "row_key", test_frac=0.3, seed=42).checkpoint(eager=True)
     return MD.compare(s, ("quantity", "discount", "tax"), label="price", cluster="cluster",
                       specs={"Linear": MD.linear_model})
+
