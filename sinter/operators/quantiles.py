@@ -22,7 +22,7 @@ _V = "_q_value"
 
 
 def exact_quantiles(df: DataFrame, by, value, probs=None, prob_col: str | None = None,
-                    max_collect: int = 10_000, buckets: int = 4096,
+                    max_collect: int = 50_000, buckets: int = 4096,
                     max_passes: int = 64) -> DataFrame:
     """Quantiles of ``value`` per ``by`` group.
 
