@@ -69,19 +69,25 @@ def strict_number(c, dtype: str = "float") -> Column:
     return decimal_comma(c).cast(dtype)
 
 
+def _wall(ts: Column) -> Column:
+    """Parsed wall-clock time without a zone (parse and cast use the same
+    session zone, so the text's wall time is kept)."""
+    return ts.cast("timestamp_ntz")
+
+
 def parse_ts(c, fmt: str = TS_FORMAT_FRACTION) -> Column:
     """Explicit format, bad -> null."""
-    return F.try_to_timestamp(col_(c), F.lit(fmt))
+    return _wall(F.try_to_timestamp(col_(c), F.lit(fmt)))
 
 
 def parse_ts_any(c, fmts=TS_FORMATS_INFERRED) -> Column:
     """First format that parses wins, else null (P10)."""
-    return F.coalesce(*[F.try_to_timestamp(col_(c), F.lit(f)) for f in fmts])
+    return _wall(F.coalesce(*[F.try_to_timestamp(col_(c), F.lit(f)) for f in fmts]))
 
 
 def parse_ts_strict(c, fmt: str = TS_FORMAT_DAY_FIRST) -> Column:
     """Day-first format; under ANSI a bad value fails the job."""
-    return F.to_timestamp(col_(c), fmt)
+    return F.to_timestamp_ntz(col_(c), F.lit(fmt))
 
 
 def nan_to_null(c) -> Column:
