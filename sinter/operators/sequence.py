@@ -155,13 +155,11 @@ def bfill(df: DataFrame, order, cols, key=None, partitions: int | None = None) -
     return fill(df, order, backward=cols, key=key, partitions=partitions)
 
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
-
 def _micros(ts: Column) -> Column:
     """Microseconds since the epoch of a zone-free timestamp (no session-zone
     conversion, so no daylight-saving shifts)."""
-    return F.timestamp_diff("MICROSECOND", _EPOCH, ts.cast("timestamp_ntz")).cast("double")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz")).cast("double")
 
 
 def interpolate_time(df: DataFrame, ts: str, order, cols, key=None,
