@@ -163,14 +163,22 @@ def _micros(ts: Column) -> Column:
 
 
 def interpolate_time(df: DataFrame, ts: str, order, cols, key=None,
-                     partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None, on_bad_ts: str = "drop") -> DataFrame:
     """Time-weighted linear interpolation, forward direction.
 
     Inside a gap: v0 + (v1 - v0) * (t - t0) / (t1 - t0) from the previous
     and next known points; a leading gap stays null; a trailing gap takes
-    the last known value.
+    the last known value. Rows without a time cannot be placed: they are
+    dropped (``on_bad_ts='drop'``) or fail the call (``'error'``).
     """
     cols = list(cols)
+    if on_bad_ts == "error":
+        if not df.filter(F.col(ts).isNull()).isEmpty():
+            raise ValueError(f"null values in time column {ts!r}")
+    elif on_bad_ts == "drop":
+        df = df.filter(F.col(ts).isNotNull())
+    else:
+        raise ValueError("on_bad_ts must be 'drop' or 'error'")
     known = {f"_p_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).alias("v")))
              for c in cols}
     y = df.withColumns(known)

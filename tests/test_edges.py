@@ -51,3 +51,13 @@ def test_tiny_chrono_split(spark):
     s = {r.i: r.split for r in SP.chrono_split(df, ["i"], 0.2, cal_frac=0.1).collect()}
     # n_test = ceil(0.2 * 3) = 1, n_cal = ceil(0.1 * 2) = 1
     assert s == {0: "train", 1: "cal", 2: "test"}
+
+
+def test_interpolation_null_time(spark):
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1.0), (2, None, 5.0),
+                                (3, "2024-01-01 00:00:10", None), (4, "2024-01-01 00:00:20", 3.0)],
+                               "id int, t string, v double").withColumn("t", F.to_timestamp("t"))
+    out = {r.id: r.v for r in SQ.interpolate_time(df, "t", ["t", "id"], ["v"]).collect()}
+    assert out == {1: 1.0, 3: 2.0, 4: 3.0}
+    with pytest.raises(ValueError):
+        SQ.interpolate_time(df, "t", ["t", "id"], ["v"], on_bad_ts="error")
