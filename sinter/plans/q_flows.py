@@ -28,7 +28,7 @@ def _sensor_text_table(spark, sf_dir):
 @register("regimes_kmeans_by_period", covers=("K9", "K1", "K7", "A1", "S8", "S9", "S11", "S12",
                                                "P4", "P7", "P10", "P18", "F11"))
 def regimes_kmeans_by_period(spark, sf_dir):
-    out = scratch_path(spark, "cluster_outputs")
+    out = scratch_path(spark, "regime_outputs")
     return regimes_by_period(spark, _sensor_text_table(spark, sf_dir), out, algo="kmeans",
                              k=4, elbow_ks=())
 
@@ -46,7 +46,7 @@ def summary_sink(spark, sf_dir):
 def metrics_sink(spark, sf_dir):
     from sinter.plans.q_metrics import _rounded
     t = _rounded(EV.metrics_table(FX.predictions(spark, sf_dir)))
-    path = scratch_path(spark, "resultados")
+    path = scratch_path(spark, "metrics_table")
     K.write_table(t, path, fmt="csv")
     return D.read_typed(spark, path, t.schema, sep=",")
 
@@ -65,12 +65,12 @@ def conformal_models(spark, sf_dir):
 @register("union_train", covers=("M11", "S4", "P2", "F2", "M8"))
 def union_train(spark, sf_dir):
     c = cleaned_lineitem(spark, sf_dir)
-    root = scratch_path(spark, "cluster_outputs")
+    root = scratch_path(spark, "regime_outputs")
     a = FL.month_between(c, "ts", 3, 6).select("l_orderkey", "l_linenumber", "quantity", "discount",
                                                "tax", "price", F.lit(0).alias("cluster"))
     b = FL.month_between(c, "ts", 8, 9).select("l_orderkey", "l_linenumber", "quantity", "discount",
                                                "tax", "price", F.lit(1).alias("cluster_label"))
-    paths = [f"{root}/data_kmeans_mar_jun_with_cluster", f"{root}/data_dbscan_ago_set_with_cluster"]
+    paths = [f"{root}/labelled_kmeans_mar_jun", f"{root}/labelled_dbscan_ago_set"]
     for df, p in zip((a, b), paths):
         df.write.mode("overwrite").parquet(p)
     u = D.read_many(SC.alias_cluster(spark.read.parquet(p)) for p in paths)

@@ -151,7 +151,7 @@ def compare_models(spark, sf_dir):
 
 @register("forest_model", covers=("M4", "M5", "M10"))
 def forest_model(spark, sf_dir):
-    """The conformal notebook's forest (100 trees) on the seeded split."""
+    """The conformal grid's forest (100 trees) on the seeded split."""
     specs = {"RandomForest": MD.model_specs("conformal", rf_depth=8)["RandomForest"]}
     return MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
                       cluster="cluster", specs=specs, method="returnflag", period="all")

@@ -36,7 +36,7 @@ SELECT ts, actual, predicted, lower, upper FROM preds WHERE model = 'TabPFN'""",
 def indexed_scan(spark, sf_dir):
     p = FX.predictions(spark, sf_dir).filter(F.col("model") == "TabPFN")
     p = p.select(F.col("ts").alias(""), "actual", "predicted", "lower", "upper")
-    path = _write_csv(p, scratch_path(spark, "flotacao_predictions_TabPFN"))
+    path = _write_csv(p, scratch_path(spark, "predictions_model_r"))
     return D.read_indexed(spark, path)
 
 
@@ -52,13 +52,13 @@ FROM clean WHERE month(ts) BETWEEN 8 AND 9"""
 @register("multi_file_union", _UNION_SQL, covers=("S4", "S6", "P2", "S2"))
 def multi_file_union(spark, sf_dir):
     c = cleaned_lineitem(spark, sf_dir)
-    root = scratch_path(spark, "cluster_outputs")
+    root = scratch_path(spark, "regime_outputs")
     a = FL.month_between(c, "ts", 3, 6).select("l_orderkey", "flag", "quantity", "price",
                                                F.lit(0).alias("cluster"))
     b = FL.month_between(c, "ts", 8, 9).select("l_orderkey", "flag", "quantity", "discount",
                                                F.lit(1).alias("cluster_label"))
-    pa = _write_csv(a, f"{root}/data_kmeans_mar_jun_with_cluster")
-    pb = _write_csv(b, f"{root}/data_dbscan_ago_set_with_cluster")
+    pa = _write_csv(a, f"{root}/labelled_kmeans_mar_jun")
+    pb = _write_csv(b, f"{root}/labelled_dbscan_ago_set")
     frames = [D.with_provenance(SC.alias_cluster(D.read_text_table(spark, p, sep=",")))
               for p in (pa, pb)]
     u = D.read_many(frames)
@@ -67,7 +67,7 @@ def multi_file_union(spark, sf_dir):
                                           for c in ("l_orderkey", "flag", *nums[1:])])
 
 
-_JUNK = ["Relatorio de processo", "Gerado automaticamente", "Unidade: flotacao",
+_JUNK = ["Relatorio de processo", "Gerado automaticamente", "Unidade: linha 1",
          "Periodo: completo", "---"]
 
 
@@ -100,9 +100,9 @@ def preamble_scan(spark, sf_dir):
 @register("rewrite_clean", O.with_(O.blocks("1 hour")) + "SELECT * FROM blocks", covers=("S13", "P4"))
 def rewrite_clean(spark, sf_dir):
     b = FX.block_table(spark, sf_dir).withColumn("fim", F.lit(None).cast("double"))
-    src = scratch_path(spark, "resumo_1h")
+    src = scratch_path(spark, "blocks_1h")
     b.write.parquet(src)
-    return K.rewrite_clean(spark, src, scratch_path(spark, "resumo_1h_clean"))
+    return K.rewrite_clean(spark, src, scratch_path(spark, "blocks_1h_clean"))
 
 
 @register("prediction_sink", O.with_(O.PREDICTIONS) + """

@@ -29,8 +29,8 @@ def test_preamble_reader_multi_file_multi_block(spark, tmp_path):
 
 
 def test_provenance_and_union(spark, tmp_path):
-    a = tmp_path / "data_kmeans_mar_jun_with_cluster.csv"
-    b = tmp_path / "data_dbscan_ago_set_with_cluster.csv"
+    a = tmp_path / "labelled_kmeans_mar_jun.csv"
+    b = tmp_path / "labelled_dbscan_ago_set.csv"
     _write(a, ["x,cluster", "1,0"])
     _write(b, ["x,y,cluster_label", "2,3,1"])
     from sinter.operators.schema import alias_cluster
