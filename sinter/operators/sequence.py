@@ -27,12 +27,6 @@ POS_MASK = (1 << ID_BITS) - 1
 _KEY = "_sq_key"
 
 
-def _n_partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def layout(df: DataFrame, order, key=None, partitions: int | None = None) -> DataFrame:
     """Range-partition and sort by ``[key] + order``; add ``_mid, _pid, _pos``.
 
@@ -41,8 +35,11 @@ def layout(df: DataFrame, order, key=None, partitions: int | None = None) -> Dat
     order = list(order)
     full = ([key] if key else []) + order
     x = df.withColumn(_KEY, F.col(key) if key else F.lit(0))
-    x = (x.repartitionByRange(_n_partitions(df, partitions), *full)
-         .sortWithinPartitions(*full)
+    # without a fixed count AQE may merge adjacent ranges (order is kept),
+    # so a small series does not run hundreds of empty tasks
+    x = (x.repartitionByRange(*full) if partitions is None
+         else x.repartitionByRange(int(partitions), *full))
+    x = (x.sortWithinPartitions(*full)
          .withColumn("_mid", F.monotonically_increasing_id()))
     x = x.withColumns({"_pid": F.shiftright("_mid", ID_BITS),
                        "_pos": F.col("_mid").bitwiseAND(F.lit(POS_MASK))})
