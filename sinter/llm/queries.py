@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sinter.llm import packing, tokenfile
-from sinter.llm.common import table
+from sinter.llm import chat, langid, mixing, packing, quality, tokenfile, toxicity
+from sinter.llm.common import store, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +26,33 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)],
+                                    turns.schema)
+    return chat.read_back(store(chat.format_conversations(turns.unionByName(planted)), "chat"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.judge(docs.select("doc_id", "lang", "text"), labels, keep=("doc_id", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op5_token_file": op5_token_file,
     "op6_packing": op6_packing,
+    "op7_chat_format": op7_chat_format,
+    "op8_mixing": op8_mixing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_chat_format": chat.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+}
