@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +31,30 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so
+    that they need no path of the driver's machine."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sinter_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="sinter-code-"), "sinter.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder in (root, os.path.dirname(os.path.abspath(__file__))):
+            for f in sorted(os.listdir(folder)):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._sinter_shipped = True
+
+
+def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def crc_of(col: Column) -> Column:
     """crc32 of the decimal text of an id (null stays null)."""
     return F.crc32(col.cast("string").cast("binary"))

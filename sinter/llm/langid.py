@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sinter.llm.common import byte_slices, crc_of, text_bytes
+from sinter.llm.common import byte_slices, crc_of, map_arrow, text_bytes
 
 ORDER = 3
 PER_LANG = 500
@@ -255,7 +255,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 names=[*batch.schema.names[:n_keep], "lang_pred", "score", "bits_per_byte"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[:n_keep])
-    return narrow.mapInArrow(score, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    return map_arrow(narrow, score, f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id",

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sinter.llm.common import byte_slices, store, text_bytes
+from sinter.llm.common import byte_slices, map_arrow, store, text_bytes
 from sinter.llm.tokenfile import with_end
 from sinter.llm.tokens import default_path, encoder
 
@@ -55,9 +55,10 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
                 names=["part", "local_start", "n_ids", "width", "doc_ids", "lengths", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        runs, "part int, local_start long, n_ids long, width int, doc_ids array<long>, "
-              "lengths array<long>, ids binary")
+    return map_arrow(
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), runs,
+        "part int, local_start long, n_ids long, width int, doc_ids array<long>, "
+        "lengths array<long>, ids binary")
 
 
 def partition_offsets(runs: DataFrame) -> dict[int, int]:
@@ -103,9 +104,10 @@ def pack(runs: DataFrame, window: int = 1024) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(out, names=[
                     "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return runs.select("part", "local_start", "width", "doc_ids", "lengths", "ids").mapInArrow(
-        pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-                "sequence_id long, offset long")
+    return map_arrow(
+        runs.select("part", "local_start", "width", "doc_ids", "lengths", "ids"), pieces,
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
+        "sequence_id long, offset long")
 
 
 def packed_sequences(docs: DataFrame, window: int = 1024, tokenizer: str | None = None) -> DataFrame:

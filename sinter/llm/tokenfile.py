@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sinter.llm.common import byte_slices, store, text_bytes
+from sinter.llm.common import byte_slices, map_arrow, store, text_bytes
 from sinter.llm.tokens import default_path, encoder, ragged
 
 MAGIC = b"FRV1"
@@ -125,7 +125,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = (two.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h")
                .sortWithinPartitions("id", "h").select("id", "text"))
-    return ordered.mapInArrow(blocks, BLOCK_SCHEMA)
+    return map_arrow(ordered, blocks, BLOCK_SCHEMA)
 
 
 def decode_documents(file: DataFrame) -> DataFrame:
@@ -148,8 +148,9 @@ def decode_documents(file: DataFrame) -> DataFrame:
                      pa.array(n), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return file.select("part", "local_start", "doc_ids", "block").mapInArrow(
-        rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(
+        file.select("part", "local_start", "doc_ids", "block"), rows,
+        "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -33,14 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sinter.llm.common import byte_slices, crc_of, text_bytes
+from sinter.llm.common import byte_slices, crc_of, map_arrow, text_bytes
 from sinter.llm.tokens import ragged
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, VEC = 6, 4
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 16
 GRAMS = (3, 5, 6)
-PER_CLASS = 2500
+PER_CLASS = 2000
 CUT = 0.3
 SHRINK = 1.3
 EPOCHS, BATCH, RATE = 5, 128, 0.02
@@ -264,8 +264,10 @@ def distinct_texts(texts: list[str]) -> list[int]:
     return out
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model | None:
-    """Fit the network on texts with labels 0 and 1; None with one class."""
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7,
+          toxic_share: float | None = None) -> Model | None:
+    """Fit the network on texts with labels 0 and 1; None with one class.
+    ``toxic_share``: of all labelled texts, where the sample's is another."""
     pick = [i for i in distinct_texts(texts) if texts[i].strip()]
     y = np.array([labels[i] for i in pick], bool)
     if y.all() or not y.any():
@@ -277,21 +279,14 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     coded = pc.dictionary_encode(words)
     index = coded.indices.to_numpy(zero_copy_only=False)
     word, gram, n_gram = _hashes(coded.dictionary)
-    # (row, text) pairs once per text, by half
-    text_of = np.repeat(np.arange(len(n)), n)
-    pairs = np.unique(text_of.astype(np.int64) * len(word) + index)
     half = rng.permutation(len(n)) % 2
     g0 = np.cumsum(n_gram) - n_gram
-
-    def counts(rows, owner, n_rows):
-        key = np.unique(owner.astype(np.int64) * n_rows + rows)
-        owner, rows = key // n_rows, key % n_rows
-        return [[np.bincount(rows[(half[owner] == s) & (y[owner] == c)], minlength=n_rows) for c in (True, False)]
-                for s in (0, 1)]
-
-    who, uniq = pairs // len(word), pairs % len(word)
-    wc = counts(word[uniq], who, WORD_ROWS)
-    gc = counts(gram[ragged(g0[uniq], n_gram[uniq])], np.repeat(who, n_gram[uniq]), GRAM_ROWS)
+    wc, gc = (np.zeros((2, 2, rows), np.int64) for rows in (WORD_ROWS, GRAM_ROWS))
+    for i in range(len(n)):  # texts that have a row, by half and label
+        own = np.unique(index[at[i]:at[i + 1]])
+        c = 1 - int(y[i])
+        wc[half[i], c, np.unique(word[own])] += 1
+        gc[half[i], c, np.unique(gram[ragged(g0[own], n_gram[own])])] += 1
     total = [[int(((half == s) & (y == c)).sum()) for c in (True, False)] for s in (0, 1)]
     # odds that texts of half s see come from the other half
     word_odds = [_log_odds(*wc[1 - s], *total[1 - s], 3) for s in (0, 1)]
@@ -353,22 +348,24 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
                                            index, at[docs], n[docs])
             logits[docs] = np.maximum.reduceat(logit, np.searchsorted(text, np.arange(len(docs))))
     ok = np.isfinite(logits)
-    model.scale, model.shift = _logistic(logits[ok], y[ok].astype(float))
+    share = y.mean() if toxic_share is None else toxic_share
+    model.scale, model.shift = _logistic(logits[ok], y[ok].astype(float),
+                                         np.where(y[ok], share / y.mean(), (1 - share) / (1 - y.mean())))
     model.word_odds = _log_odds(*full[0], *full[2], 4)
     model.gram_odds = _log_odds(*full[1], *full[2], 4)
-    model.empty = float(min(y.mean(), CUT / 2))
+    model.empty = float(min(share, CUT / 2))
     return model
 
 
-def _logistic(x, y, penalty: float = 1e-3):
+def _logistic(x, y, weight, penalty: float = 1e-3):
     """Slope and intercept by Newton steps with a small penalty."""
     m, sd = x.mean(), x.std() + 1e-9
     z = np.column_stack([(x - m) / sd, np.ones_like(x)])
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-z @ beta))
-        g = z.T @ (p - y) + penalty * len(x) * beta * [1, 0]
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([penalty * len(x), 1e-9])
+        g = z.T @ (weight * (p - y)) + penalty * len(x) * beta * [1, 0]
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([penalty * len(x), 1e-9])
         move = np.linalg.solve(hess, g)
         beta -= np.clip(move, -5, 5)
         if np.abs(move).max() < 1e-9:
@@ -452,23 +449,26 @@ def _learn(par, adam, step, word_odds, gram_odds, word, gram, n_gram, g0, index,
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS,
-           id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+           id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
     """Texts and labels of at most ``per_class`` labelled documents of each
-    label, those with the smallest hash of the id."""
+    label, those with the smallest hash of the id; and the share of label 1
+    among all of them."""
     known = (labels.select(F.col("doc_id").alias(id_col), F.col("toxic").cast("int").alias("__y"))
              .filter(F.col(id_col).isNotNull() & F.col("__y").isin(0, 1) & learn)
              .groupBy(id_col).agg(F.max("__y").alias("__y")))
+    n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
+    share = n.get(1, 0) / max(1, sum(n.values()))
     ids = []
     for c in (0, 1):
         ids += known.filter(F.col("__y") == c).orderBy(F.xxhash64(id_col), id_col).limit(per_class).collect()
     if not ids:
-        return [], []
+        return [], [], share
     spark = docs.sparkSession
     small = spark.createDataFrame([(r[0], r[1]) for r in ids], f"{id_col} long, __y int")
     rows = (docs.select(F.col(id_col), F.col(text_col).alias("__t")).filter(F.col("__t").isNotNull())
             .join(F.broadcast(small), id_col)
             .orderBy(F.xxhash64(id_col), id_col, F.xxhash64("__t")).limit(2 * per_class).collect())
-    return [r["__t"] for r in rows], [r["__y"] for r in rows]
+    return [r["__t"] for r in rows], [r["__y"] for r in rows], share
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -498,7 +498,7 @@ def _scored(docs, model, text_col, cut, with_text):
                 names=[*names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    return map_arrow(rows, run, f"{schema}, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -508,7 +508,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model | None:
     """Train on the labelled documents that aren't held out."""
-    return train(*sample(docs, labels, ~held_out(id_col), id_col=id_col))
+    texts, y, share = sample(docs, labels, ~held_out(id_col), id_col=id_col)
+    return train(texts, y, toxic_share=share)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
