@@ -1,18 +1,49 @@
-"""Corpus pipeline: each stage calls one training-data operator."""
+"""Corpus pipeline: documents to packed training sequences.
+
+Each stage calls one training-data operator on all rows that the stage
+before kept, and its decisions take effect: quality rules and toxicity drop
+the documents they reject, of near duplicates one of each class stays, the
+mix takes a document as often as its source's target asks, and packing cuts
+what is left into windows. All stages but the last keep the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sinter.llm import packing
+from sinter.llm import mixing, neardup, packing, quality, toxicity
 from sinter.llm.common import store, table
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_first(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixture(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(docs)
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", neardup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+# the stages' models are no SQL; tests compare them with brute force
 ORACLE_SQL = None
 
 

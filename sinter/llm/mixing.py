@@ -102,7 +102,8 @@ def thresholds(sized: DataFrame, budgets: dict[str | None, float]) -> dict[str |
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, source, size, source_size, target, taken, *keep) of every document."""
+    """(id, source, size, source_size, target, taken, times, *keep) of every
+    document; ``times`` is how often the mix takes it."""
     sized = store(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *keep,
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -120,10 +121,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     recipe = spark.createDataFrame(
         [(s, n, want[s], full[s], below[s]) for s, n in size.items()],
         "s string, source_size long, target double, full long, below long")
+    times = F.col("full") + (F.col("h") < F.col("below")).cast("long")
     return (sized.join(F.broadcast(recipe), F.col("source").eqNullSafe(F.col("s")))
             .select("doc_id", "source", "size", "source_size", "target",
-                    (F.col("size") * (F.col("full") + (F.col("h") < F.col("below")).cast("long"))).alias("taken"),
-                    *keep))
+                    (F.col("size") * times).alias("taken"), times.alias("times"), *keep))
+
+
+def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST,
+            id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of the mix, columns unchanged: each document as often as it is taken."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    x = rows.select("row", *[F.col(f"row.`{c}`").alias(a) for c, a in (
+        (id_col, "i"), (text_col, "t"), (source_col, "s"))])
+    taken = mix(x, weights, share, most, "i", "t", "s", keep=("row",)).filter("times > 0")
+    return (taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("n"))
+            .select("row.*"))
 
 
 ORACLE = """

@@ -20,8 +20,8 @@ Defined results: a null or empty text has no words and fails the base rules;
 a null language is a stratum of its own; null or repeated labels: a document
 counts once, with its lowest label, and documents without label are not
 counted; with no labels only the base rules act; an empty table gives no
-rows; other columns are passed through, a clashing name of theirs is
-replaced by the statistic.
+rows; other columns are passed through, in ``judge`` a clashing name of
+theirs is replaced by the statistic.
 """
 
 from __future__ import annotations
@@ -197,3 +197,11 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: s
         stats = stats.select(*keep, *_STATS, *RULES, "base_failed")
     stats = store(stats, "quality-statistics")
     return stats.withColumn("kept", verdict(calibrate(stats, labels, stratum, id_col), stratum))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text",
+              id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, columns unchanged."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    x = rows.select("row", *[F.col(f"row.`{c}`").alias(c) for c in dict.fromkeys((id_col, stratum, text_col))])
+    return judge(x, labels, stratum, text_col, id_col, keep=("row", id_col, stratum)).filter("kept").select("row.*")

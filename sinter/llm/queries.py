@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sinter.llm import chat, langid, mixing, neardup, neighbours, packing, quality, tokenfile, toxicity
+from sinter.llm import chat, langid, mixing, neardup, neighbours, packing, quality, tokenfile, toxicity, urlfilter
 from sinter.llm.common import store, table
 
 
@@ -22,6 +22,12 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = urlfilter.captures_of(table(spark, sf_dir, "pages"))
+    hosts = captures.select(urlfilter.host_of(captures["url"]).alias("host")).filter("host IS NOT NULL")
+    return urlfilter.judge(captures, store(urlfilter.list_history(hosts), "url-list"))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"))
 
@@ -38,7 +44,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "times")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_neighbours": op3_neighbours,
+    "op4_url_filter": op4_url_filter,
     "op5_token_file": op5_token_file,
     "op6_packing": op6_packing,
     "op7_chat_format": op7_chat_format,
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_url_filter": urlfilter.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }

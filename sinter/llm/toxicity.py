@@ -473,31 +473,32 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = P
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """``docs`` without its text, with score and predicted."""
-    return _scored(docs, model, text_col, cut, False)
+    names = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
+    return _scored(docs.select(*names, text_col), model, len(names), cut).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "score", "predicted")
 
 
-def score_keeping_text(docs: DataFrame, model: Model | None, text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """``docs`` with all its columns, and score and predicted."""
-    return _scored(docs, model, text_col, cut, True)
+def reject(docs: DataFrame, model: Model | None, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, columns unchanged."""
+    kept = _scored(docs, model, docs.columns.index(text_col), cut).filter("predicted = 0")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def _scored(docs, model, text_col, cut, with_text):
+def _scored(docs: DataFrame, model: Model | None, text_at: int, cut: float) -> DataFrame:
+    """Columns c0, c1, ... of ``docs``, score and predicted."""
     bc = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score", "predicted")
-    names = [c for c in docs.columns if with_text or c != text_col]
-    rows = docs.select(*names, F.col(text_col).alias("__text"))
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches):
         m = bc.value
         for batch in batches:
-            data, off = text_bytes(batch.column(len(names)))
+            data, off = text_bytes(batch.column(text_at))
             p = score_of(m, text_logits(m, data, off)) if m is not None else np.zeros(len(off) - 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(names))]
-                + [pa.array(p), pa.array((p >= cut).astype(np.int32))],
-                names=[*names, "score", "predicted"])
+                [*batch.columns, pa.array(p), pa.array((p >= cut).astype(np.int32))],
+                names=[*batch.schema.names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     return map_arrow(rows, run, f"{schema}, score double, predicted int")
 
 
