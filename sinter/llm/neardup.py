@@ -462,14 +462,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def with_classes(docs: DataFrame, cls: DataFrame, text_col: str = "text", part: int = 50_000) -> DataFrame:
-    """``docs`` joined to the class of its text; rows of very common texts
-    are dealt out by salt. Texts without shingles get nulls."""
+    """(row, __node, and class columns) of every row of ``docs``, the class
+    by its text; rows of very common texts are dealt out by salt. Texts
+    without shingles get nulls."""
     salts = F.floor(F.col("n") / part).cast("int")
     right = cls.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts))).select(
-        F.col("node").alias("__node"), "__salt", F.col("class_id"), "class_size", "first_node", F.col("id").alias("__least"))
-    big = F.broadcast(cls.filter(F.col("n") >= part).select(F.col("node").alias("__big"), (salts + 1).alias("__m")))
+        F.col("node").alias("__node"), "__salt", "class_id", "class_size", "first_node", F.col("id").alias("least"))
     # at most rows / part texts can be that common
-    left = (docs.withColumn("__node", F.xxhash64(text_col)).join(big, F.col("__node") == F.col("__big"), "left")
+    big = F.broadcast(cls.filter(F.col("n") >= part).select(F.col("node").alias("__big"), (salts + 1).alias("__m")))
+    left = (docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+                        F.xxhash64(docs[f"`{text_col}`"]).alias("__node"))
+            .join(big, F.col("__node") == F.col("__big"), "left")
             .withColumn("__salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__m")).cast("int"), F.lit(0))))
     return left.join(right, ["__node", "__salt"], "left").drop("__big", "__m", "__salt")
 
@@ -478,21 +481,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     threshold: float = SIMILARITY) -> DataFrame:
     """(id, class_id, class_size) of every document."""
     rows = with_classes(docs.select(id_col, text_col), classes(docs, id_col, text_col, threshold), text_col)
-    own = F.col("first_node").isNull()
-    return rows.select(F.col(id_col), F.when(own, F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"),
-                       F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    own = F.col(f"row.`{id_col}`")
+    return rows.select(own.alias(id_col), F.when(F.col("first_node").isNull(), own).otherwise(
+        F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                threshold: float = SIMILARITY) -> DataFrame:
     """``docs`` without all but one document of each class: the one with the
     smallest id. Texts without shingles all stay."""
-    cols = docs.columns
     x = with_classes(docs, classes(docs, id_col, text_col, threshold), text_col)
-    lead = F.col("__node") == F.col("first_node")
     # rows of the leading text with the leading id; equal rows are told apart below
-    named = lead & F.col(id_col).cast("long").eqNullSafe(F.col("__least"))
-    x = x.filter(F.col("first_node").isNull() | named)
-    free = x.filter(F.col("first_node").isNull()).select(*cols)
-    one = x.filter(F.col("first_node").isNotNull()).dropDuplicates(["__node"]).select(*cols)
+    lead = (F.col("__node") == F.col("first_node")) & F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("least"))
+    free = x.filter(F.col("first_node").isNull()).select("row.*")
+    one = x.filter(F.col("first_node").isNotNull() & lead).dropDuplicates(["__node"]).select("row.*")
     return free.unionByName(one)
