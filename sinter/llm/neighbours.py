@@ -42,7 +42,7 @@ from sinter.llm.common import ship, store
 TREES, LEAF = 12, 128
 SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
 BUDGET, POWER = 8.0, 0.8
-GROUP = 16_384
+GROUP = 65_536
 PAIRS = 8
 _NEAR = 1e-9  # scores this close, relatively, are compared exactly
 
