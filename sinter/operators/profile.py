@@ -1,8 +1,8 @@
 """Grouped profiles and result tables.
 
-``profile`` is one ``groupBy(...).agg(...)``: count / avg / stddev_samp
-are partially aggregated map-side; the exact median keeps a value->count
-map per group (Spark's ``percentile``), merged after the shuffle.
+``profile`` is one ``groupBy(...).agg(...)``: count / avg / stddev_samp are
+partially aggregated map-side; exact medians come from
+``quantiles.exact_medians``, all columns in the same passes.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ def profile(df: DataFrame, by: str = "cluster", cols=None, digits: int | None =
     """A1: count, mean, sample std and median of every numeric column per
     group, flat names ``<col>_<stat>``, rounded half-even to ``digits``.
 
-    count / mean / std are one grouped aggregate; medians come from
-    ``quantiles.exact_median`` over the columns stacked long, so no group's
-    values are gathered in one task. Rows with a null group key are left
-    out, as pandas ``groupby`` does."""
-    from sinter.operators.quantiles import exact_median
+    count / mean / std are one grouped aggregate; medians are selected over
+    the wide columns, so no group's values are gathered in one task. Rows
+    with a null group key are left out, as pandas ``groupby`` does."""
+    from sinter.operators.quantiles import exact_medians
     cols = [c for c in (cols or numeric_columns(df)) if c != by]
     df = df.filter(F.col(by).isNotNull())
 
@@ -44,12 +43,8 @@ def profile(df: DataFrame, by: str = "cluster", cols=None, digits: int | None =
                 raise ValueError(f"unknown statistic {s}")
     out = df.groupBy(by).agg(*aggs)
     if "median" in stats and cols:
-        long = df.select(by, F.explode(F.array(*[
-            F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols]))
-            .alias("_s")).select(by, "_s._col", "_s._v")
-        med = exact_median(long, [by, "_col"], "_v")
-        wide = med.groupBy(by).pivot("_col", cols).agg(F.first("median"))
-        wide = wide.select(by, *[rnd(F.col(c)).alias(f"{c}_median") for c in cols])
+        med = exact_medians(df, [by], cols)
+        wide = med.select(by, *[rnd(F.col(c)).alias(f"{c}_median") for c in cols])
         out = out.join(wide, by, "left")
     order = [by] + [f"{c}_{s}" for c in cols for s in stats]
     return out.select(*order)
@@ -73,14 +68,13 @@ def distinct_models(df: DataFrame, model: str = "model") -> DataFrame:
     return df.select(model).distinct()
 
 
-def rank_results(df: DataFrame, by=("model",), metric: str = "mape") -> DataFrame:
-    """Rank rows by metric inside each ``by`` group (1 = best).
-
-    The results table has one row per (model, dataset): tiny by design.
+def rank_results(df: DataFrame, by=("model",), metric: str = "mape", tie_break=()) -> DataFrame:
+    """Rank rows by metric inside each ``by`` group (1 = best), equal
+    ones by ``tie_break``; without ``by``, over all results. The results
+    table has one row per (model, dataset), so one group of it is small.
     """
-    w = Window.partitionBy(*by).orderBy(F.col(metric).asc_nulls_last()) if by else \
-        Window.orderBy(F.col(metric).asc_nulls_last())
-    return df.withColumn("rank", F.row_number().over(w))
+    order = [F.col(metric).asc_nulls_last(), *tie_break]
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)))
 
 
 def block_medians(df: DataFrame, ts: str, key: str, value, every: str = "1 day",

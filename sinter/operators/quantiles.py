@@ -2,107 +2,178 @@
 
 Spark's exact ``percentile`` merges a group's whole value->count map in one
 task, so a hot group (or the global median) is unbounded there. Here the
-order statistics a quantile needs (ranks floor and ceil of p * (n - 1)) are
-found by distributed selection: each pass histograms the current value
-range of every (group, rank) into ``buckets`` buckets with one aggregate
-(partial counts map-side), keeps the bucket that holds the rank, and
-narrows the range to that bucket's smallest and largest value. A range is
-settled when it holds one distinct value, or few enough values
-(``max_collect``) to read the rank from a sorted list of that range only.
+order statistic of rank floor(p * (n - 1)) is found by pivots, for all
+columns and groups in the same two aggregates a round:
+
+1. a mergeable sketch (``percentile_approx``) of the values inside the open
+   interval of each slot proposes two of them as pivots;
+2. the values below, at and just above each pivot are counted exactly. The
+   rank then either is a pivot's, or lies in a smaller open interval.
+
+Pivots are values of the data, so a round always removes some, only
+comparisons decide (infinities and denormals are like any value), and the
+sketch's error costs rounds, never exactness. The columns stay wide, no
+value is exchanged: the state has one row per group and is broadcast to the
+rows when it has at most ``BROADCAST_GROUPS`` of them, else joined.
 The result is linearly interpolated like numpy / DuckDB ``quantile_cont``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sinter.session import checkpoint_root
 
-_V = "_q_value"
+GRID = 256
+ACCURACY = 10_000
+BROADCAST_GROUPS = 50_000
+
+
+def _value(c):
+    """A column as a double; NaN is missing."""
+    v = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _below(limit):
+    return lambda x: x < limit
+
+
+def _select(d: DataFrame, by, slots, levels) -> DataFrame:
+    """``d`` has the keys ``by`` and value columns; ``slots`` are (value
+    column, probability column or literal). Returns one row per group with
+    ``n{i}``, ``p{i}`` and ``q{i}`` for every slot."""
+    def stat(i, v, p):
+        prob = F.first(p) if isinstance(p, str) else F.lit(float(p))
+        return [F.count(v).alias(f"n{i}"), prob.cast("double").alias(f"p{i}")]
+
+    state = d.groupBy(*by).agg(*[a for i, (v, p) in enumerate(slots) for a in stat(i, v, p)])
+    none = F.lit(None).cast("double")
+    new = {}
+    for i in range(len(slots)):
+        new |= {f"r{i}": F.floor(F.col(f"p{i}") * (F.col(f"n{i}") - 1)).cast("long"), f"below{i}": F.lit(0).cast("long"),
+                f"lo{i}": none, f"hi{i}": none, f"v{i}": none, f"w{i}": none,
+                f"open{i}": F.col(f"n{i}") > 0}
+    state = state.withColumns(new).checkpoint(eager=True)
+    few = state.count() <= BROADCAST_GROUPS
+    grid = F.array(*[F.lit(x) for x in levels])
+
+    while True:
+        still = [i for i, n in enumerate(state.agg(*[F.count_if(f"open{i}") for i in range(len(slots))]).first()) if n]
+        if not still:
+            break
+
+        def rows(table):
+            return d.join(F.broadcast(table) if few else table, by)
+
+        own = [c for i in still for c in (f"lo{i}", f"hi{i}", f"open{i}")]
+        sketch = []
+        for i in still:
+            v = F.col(slots[i][0])
+            inside = F.when(F.col(f"open{i}") & (F.col(f"lo{i}").isNull() | (v > F.col(f"lo{i}")))
+                            & (F.col(f"hi{i}").isNull() | (v < F.col(f"hi{i}"))), v)
+            sketch += [F.percentile_approx(inside, levels, ACCURACY).alias(f"s{i}"), F.count(inside).alias(f"m{i}")]
+        tried = state.join(rows(state.select(*by, *own)).groupBy(*by).agg(*sketch), by)
+        for i in still:
+            # the pivots on both sides of the rank's place in the interval
+            place = F.try_divide(F.col(f"r{i}") - F.col(f"below{i}") + 1, F.col(f"m{i}"))
+            at = F.greatest(F.size(F.filter(grid, _below(place))), F.lit(1))
+            tried = tried.withColumns({
+                f"a{i}": F.element_at(f"s{i}", at),
+                f"b{i}": F.element_at(f"s{i}", F.least(at + 1, F.lit(len(levels))))})
+        tried = tried.drop(*[f"{c}{i}" for i in still for c in "sm"]).checkpoint(eager=True)
+        counts = []
+        for i in still:
+            v = F.col(slots[i][0])
+            for x in "ab":
+                t = F.col(f"{x}{i}")
+                counts += [F.count_if(v < t).alias(f"{x}lt{i}"), F.count_if(v <= t).alias(f"{x}le{i}"),
+                           F.min(F.when(v > t, v)).alias(f"{x}up{i}")]
+        seen = tried.join(rows(tried.select(*by, *[f"{x}{i}" for i in still for x in "ab"]))
+                          .groupBy(*by).agg(*counts), by)
+        for i in still:
+            seen = seen.withColumns(_narrow(i))
+        state = seen.select(*state.columns).checkpoint(eager=True)
 
+    out = {}
+    for i in range(len(slots)):
+        pos = F.col(f"p{i}") * (F.col(f"n{i}") - 1)
+        frac = pos - F.col(f"r{i}")
+        out[f"q{i}"] = F.when(frac == 0, F.col(f"v{i}")).when(F.col(f"v{i}") == F.col(f"w{i}"), F.col(f"v{i}")).otherwise(
+            F.col(f"v{i}") + (F.col(f"w{i}") - F.col(f"v{i}")) * frac)
+    return state.withColumns(out).select(*by, *[f"{c}{i}" for i in range(len(slots)) for c in "npq"])
 
-def exact_quantiles(df: DataFrame, by, value, probs=None, prob_col: str | None = None,
-                    max_collect: int = 50_000, buckets: int = 4096,
-                    max_passes: int = 64) -> DataFrame:
+
+def _narrow(i: int) -> dict:
+    """New state of slot ``i`` from the counts at its pivots a <= b."""
+    r, was_open = F.col(f"r{i}"), F.col(f"open{i}")
+    c = {n: F.col(f"{n}{i}") for n in ("a", "alt", "ale", "aup", "b", "blt", "ble", "bup", "lo", "hi", "below", "v", "w")}
+    at_a, at_b = (r >= c["alt"]) & (r < c["ale"]), (r >= c["blt"]) & (r < c["ble"])
+    hit = was_open & (at_a | at_b)
+
+    def following(le, same, up):
+        return F.when(r + 1 < le, same).otherwise(F.coalesce(up, same))
+
+    above_a, above_b = r >= c["ale"], r >= c["ble"]
+    return {
+        f"v{i}": F.when(hit, F.when(at_a, c["a"]).otherwise(c["b"])).otherwise(c["v"]),
+        f"w{i}": F.when(hit, F.when(at_a, following(c["ale"], c["a"], c["aup"]))
+                        .otherwise(following(c["ble"], c["b"], c["bup"]))).otherwise(c["w"]),
+        f"open{i}": was_open & ~hit,
+        f"lo{i}": F.when(above_b, c["b"]).when(above_a, c["a"]).otherwise(c["lo"]),
+        f"hi{i}": F.when(r < c["alt"], c["a"]).when(r < c["blt"], c["b"]).otherwise(c["hi"]),
+        f"below{i}": F.when(above_b, c["ble"]).when(above_a, c["ale"]).otherwise(c["below"]),
+    }
+
+
+def _levels(probs) -> list[float]:
+    return sorted({k / GRID for k in range(GRID + 1)} | {float(p) for p in probs or ()})
+
+
+def _keyed(df: DataFrame, by, values: dict):
+    """Keys and values only; rows with a null key are left out (pandas
+    ``groupby`` drops them too). No key: one constant key."""
+    checkpoint_root(df.sparkSession)
+    keys = [F.col(k).alias(k) for k in by] or [F.lit(0).alias("_q_all")]
+    d = df.select(*keys, *[v.alias(n) for n, v in values.items()])
+    names = list(by) or ["_q_all"]
+    for k in names:
+        d = d.filter(F.col(k).isNotNull())
+    return d, names
+
+
+def exact_quantiles(df: DataFrame, by, value, probs=None, prob_col: str | None = None) -> DataFrame:
     """Quantiles of ``value`` per ``by`` group.
 
     ``probs``: list of levels for every group (output column ``p``), or
     ``prob_col``: a column of ``df`` holding one level per group (constant
-    inside a group). Returns ``by..., p, n, q``.
-    """
+    inside a group). Returns ``by..., p, n, q``; groups without a value
+    have no row."""
     by = list(by)
-    glob = not by
-    if glob:                      # one global group: a constant key, no cross join
-        df, by = df.withColumn("_q_all", F.lit(0)), ["_q_all"]
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    val = F.col(value) if isinstance(value, str) else value
-    cols = [*by, val.cast("double").alias(_V)]
-    if prob_col:
-        cols.append(F.col(prob_col).alias("p"))
-    # null group keys are left out (pandas groupby drops them too)
-    keep = F.col(_V).isNotNull() & ~F.isnan(_V)
-    for k in by:
-        keep = keep & F.col(k).isNotNull()
+    cols = {"_x": _value(value)} | ({"_p": F.col(prob_col)} if prob_col else {})
+    d, keys = _keyed(df, by, cols)
+    slots = [("_x", "_p")] if prob_col else [("_x", float(p)) for p in probs]
     # deterministic, so a lost cached block is recomputed to the same values
-    d = df.select(*cols).filter(keep).persist()
-    aggs = [F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"), F.max(_V).alias("hi")]
-    if prob_col:
-        aggs.append(F.first("p").alias("p"))
-    stats = d.groupBy(*by).agg(*aggs)
-    if not prob_col:
-        stats = stats.withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in probs])))
-    stats = stats.withColumn("pos", F.col("p") * (F.col("n") - 1)).checkpoint(eager=True)
-    targets = (stats.withColumn("rank", F.explode(F.array_distinct(F.array(
-        F.floor("pos").cast("long"), F.ceil("pos").cast("long")))))
-        .select(*by, "rank", "lo", "hi", F.lit(0).cast("long").alias("below"), "n"))
-    targets = targets.withColumn("cnt", F.col("n")).drop("n").checkpoint(eager=True)
-    d = d.drop("p") if prob_col else d
-    keys = [*by, "rank"]
-    settled = []
-    for _ in range(max_passes):
-        open_ = targets.filter((F.col("lo") != F.col("hi")) & (F.col("cnt") > max_collect))
-        done = targets.filter((F.col("lo") == F.col("hi")) | (F.col("cnt") <= max_collect))
-        settled.append(done)
-        if open_.isEmpty():
-            break
-        j = d.join(open_, by).filter(F.col(_V).between(F.col("lo"), F.col("hi")))
-        width = (F.col("hi") - F.col("lo")) / F.lit(float(buckets))
-        b = F.least(F.floor((F.col(_V) - F.col("lo")) / width).cast("long"), F.lit(buckets - 1))
-        hist = (j.withColumn("_b", b).groupBy(*keys, "_b")
-                .agg(F.count(F.lit(1)).alias("c"), F.min(_V).alias("vmin"), F.max(_V).alias("vmax")))
-        w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.join(open_.select(*keys, "below"), keys).withColumn("cum", F.sum("c").over(w))
-        pick = hist.filter((F.col("below") + F.col("cum") - F.col("c") <= F.col("rank"))
-                           & (F.col("rank") < F.col("below") + F.col("cum")))
-        targets = pick.select(*keys, F.col("vmin").alias("lo"), F.col("vmax").alias("hi"),
-                              (F.col("below") + F.col("cum") - F.col("c")).alias("below"),
-                              F.col("c").alias("cnt")).checkpoint(eager=True)
-    else:
-        raise RuntimeError("exact_quantiles did not settle")
-    fin = settled[0]
-    for s in settled[1:]:
-        fin = fin.unionByName(s)
-    single = fin.filter(F.col("lo") == F.col("hi")).select(*keys, F.col("lo").alias("v"))
-    small = fin.filter(F.col("lo") != F.col("hi"))
-    picked = (d.join(small, by).filter(F.col(_V).between(F.col("lo"), F.col("hi")))
-              .groupBy(*keys, "below").agg(F.sort_array(F.collect_list(_V)).alias("_vals"))
-              .select(*keys, F.element_at("_vals", (F.col("rank") - F.col("below") + 1).cast("int"))
-                      .alias("v")))
-    order_stats = single.unionByName(picked)
-    lo_v = order_stats.select(*by, F.col("rank").alias("r_lo"), F.col("v").alias("v_lo"))
-    hi_v = order_stats.select(*by, F.col("rank").alias("r_hi"), F.col("v").alias("v_hi"))
-    out = (stats.withColumns({"r_lo": F.floor("pos").cast("long"), "r_hi": F.ceil("pos").cast("long")})
-           .join(lo_v, [*by, "r_lo"]).join(hi_v, [*by, "r_hi"]))
-    frac = F.col("pos") - F.col("r_lo")
-    q = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac
-    out = out.select(*by, "p", "n", F.when(frac == 0, F.col("v_lo")).otherwise(q).alias("q"))
-    out = out.checkpoint(eager=True)
+    d = d.filter(F.col("_x").isNotNull()).persist()
+    wide = _select(d, keys, slots, _levels(probs))
+    d.unpersist()
+    each = F.explode(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q"))
+                               for i in range(len(slots))]))
+    return wide.select(*by, each.alias("s")).select(*by, "s.p", "s.n", "s.q")
+
+
+def exact_medians(df: DataFrame, by, cols) -> DataFrame:
+    """``by...`` and the median of each of ``cols`` under its own name, all
+    columns in the same passes; null where a group has no value."""
+    by, cols = list(by), list(cols)
+    d, keys = _keyed(df, by, {f"_x{i}": _value(c) for i, c in enumerate(cols)})
+    d = d.persist()
+    wide = _select(d, keys, [(f"_x{i}", 0.5) for i in range(len(cols))], _levels([0.5]))
     d.unpersist()
-    return out.drop("_q_all") if glob else out
+    return wide.select(*by, *[F.col(f"q{i}").alias(c) for i, c in enumerate(cols)])
 
 
-def exact_median(df: DataFrame, by, value, **kw) -> DataFrame:
+def exact_median(df: DataFrame, by, value) -> DataFrame:
     """Median per group (``by..., median``)."""
-    r = exact_quantiles(df, by, value, probs=[0.5], **kw)
+    r = exact_quantiles(df, by, value, probs=[0.5])
     return r.select(*by, F.col("q").alias("median"))
