@@ -92,9 +92,10 @@ def binned_metrics(df: DataFrame, bins: int = 10, by=("model",), y: str = "actua
     are left out (count them with ``skipped_bins``)."""
     d = ape_below(df, ape_threshold, y, p)
     lo, hi = value_range(d, y)
-    if lo is None or lo == hi:
-        raise ValueError("cannot bin: no rows or all actual values equal")
-    b = assign_bins(d, linspace_edges(lo, hi, bins), y)
+    if lo is None or lo == hi:  # nothing to bin: an empty frame of the same schema
+        b = d.limit(0).withColumn("bin_mid", F.lit(0.0))
+    else:
+        b = assign_bins(d, linspace_edges(lo, hi, bins), y)
     g = b.groupBy(*by, "bin_mid").agg(
         F.count(F.lit(1)).alias("n"), M.r2(y, p).alias("r2"), M.mape_pct(y, p).alias("mape_pct"),
         M.rmse(y, p).alias("rmse"), M.mae(y, p).alias("mae"))
@@ -103,16 +104,19 @@ def binned_metrics(df: DataFrame, bins: int = 10, by=("model",), y: str = "actua
 
 def skipped_bins(df: DataFrame, bins: int = 10, by=("model",), y: str = "actual",
                  min_rows: int = 2) -> int:
+    """How many (model, bin) groups have fewer than ``min_rows`` rows."""
     lo, hi = value_range(df, y)
+    if lo is None or lo == hi:
+        return 0
     b = assign_bins(df, linspace_edges(lo, hi, bins), y)
     return b.groupBy(*by, "bin_mid").count().filter(F.col("count") < min_rows).count()
 
 
 def actual_vs_predicted(df: DataFrame, ts: str = "ts", y: str = "actual",
                         p: str = "predicted", model: str | None = None) -> DataFrame:
-    """The series behind an actual-vs-predicted chart (order at the sink)."""
-    d = df.filter(F.col("model") == model) if model else df
-    return d.select(ts, y, p)
+    """The series behind an actual-vs-predicted chart (order at the
+    sink), of one model or of all with the model's name."""
+    return df.filter(F.col("model") == model).select(ts, y, p) if model else df.select("model", ts, y, p)
 
 
 def side_by_side(df: DataFrame, models, ts: str = "ts", value: str = "predicted",

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import time
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sinter.functions import metrics as M
-from sinter.operators.features import imputer, one_hot_stages
+from sinter.operators.features import apply_standardiser, fit_standardiser, imputer, one_hot_stages
 
 # The reference's model settings.
 RF_TREES = 300
@@ -66,14 +66,36 @@ def linear_model() -> LinearRegression:
     return LinearRegression(solver="normal", regParam=0.0, elasticNetParam=0.0)
 
 
+class PopulationScaler(Estimator):
+    """The library's standardiser (population std) as a pipeline stage."""
+
+    def __init__(self, cols):
+        super().__init__()
+        self.cols = list(cols)
+
+    def _fit(self, dataset):
+        return PopulationScalerModel(fit_standardiser(dataset, self.cols))
+
+
+class PopulationScalerModel(Transformer):
+    def __init__(self, stats):
+        super().__init__()
+        self.stats = stats
+
+    def _transform(self, dataset):
+        return apply_standardiser(dataset, self.stats)
+
+
 def build_pipeline(numeric, estimator, cluster: str | None = "cluster",
-                   label: str = "label") -> Pipeline:
-    """M4: impute(mean) -> assemble -> scale -> + one-hot regime -> model."""
+                   label: str = "label", scale: bool = True) -> Pipeline:
+    """M4: impute(mean) -> scale -> + one-hot regime -> assemble -> model.
+    ``scale=False`` for columns that are standardised already."""
     numeric = list(numeric)
     imp_out = [f"{c}__imp" for c in numeric]
-    stages = [imputer(numeric, imp_out),
-              VectorAssembler(inputCols=imp_out, outputCol="num_vec", handleInvalid="keep"),
-              StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True)]
+    stages = [imputer(numeric, imp_out)]
+    if scale:
+        stages.append(PopulationScaler(imp_out))
+    stages.append(VectorAssembler(inputCols=imp_out, outputCol="num_scaled", handleInvalid="keep"))
     feats = ["num_scaled"]
     if cluster:
         stages += one_hot_stages(cluster, "cluster_vec")
@@ -84,25 +106,6 @@ def build_pipeline(numeric, estimator, cluster: str | None = "cluster",
     return Pipeline(stages=stages)
 
 
-ROWS_PER_PARTITION = 200_000
-
-
-def right_size(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Iterative trainers run several jobs per iteration; on a small input
-    most of that is scheduling of near-empty tasks. Coalesce (no shuffle,
-    order kept) to about ``rows_per_partition`` rows per task; a large
-    input keeps its partitions."""
-    want = max(1, -(-int(n_rows) // rows_per_partition))
-    have = df.rdd.getNumPartitions()
-    return df.coalesce(want) if want < have else df
-
-
-def fit_input(train: DataFrame, estimator, n_rows: int) -> DataFrame:
-    """Boosting runs ~depth+1 small jobs per tree: right-size its input. A
-    forest grows all trees per pass, so it keeps the input parallelism."""
-    return right_size(train, n_rows) if isinstance(estimator, GBTRegressor) else train
-
-
 METRICS_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()), T.StructField("method", T.StringType()),
     T.StructField("period", T.StringType()), T.StructField("n_train", T.LongType()),
@@ -126,7 +129,7 @@ def compare(df: DataFrame, numeric, label: str = "label", cluster: str | None =
         est = make()
         pipe = build_pipeline(numeric, est, cluster, label)
         t0 = time.time()
-        fitted = pipe.fit(fit_input(train, est, n_train))
+        fitted = pipe.fit(train)
         secs = time.time() - t0          # E9: training time
         scored = fitted.transform(test)
         m = scored.agg(M.mse(label, "prediction").alias("mse"),
@@ -137,3 +140,10 @@ def compare(df: DataFrame, numeric, label: str = "label", cluster: str | None =
             preds[name] = scored
     table = spark.createDataFrame(rows, METRICS_SCHEMA)
     return (table, preds) if keep_predictions else table
+
+
+def checkable(table: DataFrame, slack: float = 0.0) -> DataFrame:
+    """What a metrics table must say whatever the engine's trees look like:
+    the split's sizes, and that the model beats the mean (or, where the
+    features say nothing of the label, comes within ``slack`` of its R2)."""
+    return table.select("model", "n_train", "n_test", (F.col("r2") > -slack).alias("beats_mean"))

@@ -56,7 +56,7 @@ def seeded_split(df: DataFrame, row_id: str, test_frac: float = 0.3, seed: int =
             .drop("_hk", "_hrn"))
 
 
-def cap_rows(df: DataFrame, rn: str = "row_number", max_rows: int = 10_000,
+def cap_rows(df: DataFrame, max_rows: int, rn: str = "row_number",
              split: str = "split", which: str = "train") -> DataFrame:
     """Keep only the first ``max_rows`` rows (by row number) of one
     split; other splits pass unchanged. ``chrono_split`` numbers rows from

@@ -130,7 +130,8 @@ def bin_assignment(spark, sf_dir):
           covers=("A3",))
 def value_range(spark, sf_dir):
     p = FX.predictions(spark, sf_dir)
-    return p.agg(F.min("actual").alias("lo"), F.max("actual").alias("hi"))
+    lo, hi = EV.value_range(p)
+    return spark.createDataFrame([(lo, hi)], "lo double, hi double")
 
 
 @register("model_list", O.with_(O.PREDICTIONS) + "SELECT DISTINCT model FROM preds", covers=("A10",))
@@ -149,15 +150,14 @@ def ranked_results(spark, sf_dir):
     p = FX.predictions(spark, sf_dir)
     m = p.groupBy("model", F.year("ts").alias("dataset")).agg(
         M.mape_fraction("actual", "predicted").alias("mape"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("model").orderBy("mape", "dataset")
-    return m.select("model", "dataset", round6("mape").alias("mape"), F.row_number().over(w).alias("rank"))
+    ranked = PR.rank_results(m, by=("model",), metric="mape", tie_break=("dataset",))
+    return ranked.select("model", "dataset", round6("mape").alias("mape"), "rank")
 
 
 @register("actual_vs_pred", O.with_(O.PREDICTIONS) + """
-SELECT ts, actual, predicted FROM preds WHERE model = 'XGB'""", covers=("M12",))
+SELECT model, ts, actual, predicted FROM preds""", covers=("M12",))
 def actual_vs_pred(spark, sf_dir):
-    return EV.actual_vs_predicted(FX.predictions(spark, sf_dir), model="XGB")
+    return EV.actual_vs_predicted(FX.predictions(spark, sf_dir))
 
 
 @register("models_side_by_side", O.with_(O.PREDICTIONS) + """

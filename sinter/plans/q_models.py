@@ -139,19 +139,25 @@ def _seeded_regression(spark, sf_dir):
     return s.checkpoint(eager=True)     # split once, reused by every model
 
 
-@register("compare_models", covers=("M4", "M6", "M8", "M10", "W9", "E1", "E4", "E6", "E9"))
+_SPLIT_SIZES = O.with_(O.REGRESSION) + """
+, s AS (SELECT count(*) AS n FROM reg)
+SELECT m.model, CAST(n - ceil(n * 0.3) AS BIGINT) AS n_train, CAST(ceil(n * 0.3) AS BIGINT) AS n_test,
+  true AS beats_mean FROM s, (VALUES {models}) m(model)"""
+
+
+@register("compare_models", _SPLIT_SIZES.format(models="('GradientBoosting'), ('Linear')"), covers=("M4", "M6", "M8", "M10", "W9", "E1", "E4", "E6", "E9"))
 def compare_models(spark, sf_dir):
     """Boosting defaults and OLS on the same seeded split; the full union
     grid (forest 300, booster 400) is ``MD.model_specs('union')``."""
     specs = {"GradientBoosting": MD.model_specs("union")["GradientBoosting"],
              "Linear": MD.linear_model}
-    return MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
-                      cluster="cluster", specs=specs, method="returnflag", period="all")
+    return MD.checkable(MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
+                                   cluster="cluster", specs=specs, method="returnflag", period="all"))
 
 
-@register("forest_model", covers=("M4", "M5", "M10"))
+@register("forest_model", _SPLIT_SIZES.format(models="('RandomForest')"), covers=("M4", "M5", "M10"))
 def forest_model(spark, sf_dir):
     """The conformal grid's forest (100 trees) on the seeded split."""
     specs = {"RandomForest": MD.model_specs("conformal", rf_depth=8)["RandomForest"]}
-    return MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
-                      cluster="cluster", specs=specs, method="returnflag", period="all")
+    return MD.checkable(MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
+                                   cluster="cluster", specs=specs, method="returnflag", period="all"))

@@ -106,10 +106,10 @@ def chrono_split(spark, sf_dir):
     return _chrono(spark, sf_dir)
 
 
-@register("train_cap", f"SELECT * FROM ({_SPLIT_SQL}) x WHERE split <> 'train' OR row_number <= 10000",
+@register("train_cap", f"SELECT * FROM ({_SPLIT_SQL}) x WHERE split <> 'train' OR row_number <= 5000",
           covers=("W10",))
 def train_cap(spark, sf_dir):
-    return SP.cap_rows(_chrono(spark, sf_dir), max_rows=10_000)
+    return SP.cap_rows(_chrono(spark, sf_dir), max_rows=5_000)
 
 
 @register("seeded_split", """

@@ -32,38 +32,42 @@ def text_scan(spark, sf_dir):
 
 
 @register("indexed_scan", O.with_(O.PREDICTIONS) + """
-SELECT ts, actual, predicted, lower, upper FROM preds WHERE model = 'TabPFN'""", covers=("S2", "S3"))
+SELECT model, ts, actual, predicted, lower, upper FROM preds""", covers=("S2", "S3"))
 def indexed_scan(spark, sf_dir):
-    p = FX.predictions(spark, sf_dir).filter(F.col("model") == "TabPFN")
-    p = p.select(F.col("ts").alias(""), "actual", "predicted", "lower", "upper")
-    path = _write_csv(p, scratch_path(spark, "predictions_model_r"))
-    return D.read_indexed(spark, path)
+    p = FX.predictions(spark, sf_dir).checkpoint(eager=True)
+    frames = []
+    for m in [r["model"] for r in p.select("model").distinct().collect()]:   # one file set per model
+        one = p.filter(F.col("model") == m).select(F.col("ts").alias(""), "actual", "predicted", "lower", "upper")
+        path = _write_csv(one, scratch_path(spark, "predictions_model"))
+        frames.append(SC.tag(D.read_indexed(spark, path), model=m))
+    return D.read_many(frames)
 
 
 _UNION_SQL = O.with_(O.MESSY, O.CLEAN) + """
-SELECT 'KMEANS' AS method, 'mar_jun' AS period, CAST(l_orderkey AS DOUBLE) AS l_orderkey, flag,
+SELECT 'KMEANS' AS method, 'mar_jun' AS period, 'XGB' AS model, 'padrao' AS dataset, CAST(l_orderkey AS DOUBLE) AS l_orderkey, flag,
   quantity, price, CAST(NULL AS DOUBLE) AS discount, 0.0 AS cluster
-FROM clean WHERE month(ts) BETWEEN 3 AND 6
+FROM clean WHERE month(ts) BETWEEN 1 AND 6
 UNION ALL
-SELECT 'DBSCAN', 'ago_set', CAST(l_orderkey AS DOUBLE), flag, quantity, CAST(NULL AS DOUBLE), discount, 1.0
-FROM clean WHERE month(ts) BETWEEN 8 AND 9"""
+SELECT 'DBSCAN', 'ago_set', 'Outro', 'IQR', CAST(l_orderkey AS DOUBLE), flag, quantity, CAST(NULL AS DOUBLE), discount, 1.0
+FROM clean WHERE month(ts) BETWEEN 7 AND 12"""
 
 
 @register("multi_file_union", _UNION_SQL, covers=("S4", "S6", "P2", "S2"))
 def multi_file_union(spark, sf_dir):
     c = cleaned_lineitem(spark, sf_dir)
-    root = scratch_path(spark, "regime_outputs")
-    a = FL.month_between(c, "ts", 3, 6).select("l_orderkey", "flag", "quantity", "price",
+    # a parent folder whose name misleads: only the dataset's own name counts
+    root = scratch_path(spark, "dbscan_ago_set_tabpfn")
+    a = FL.month_between(c, "ts", 1, 6).select("l_orderkey", "flag", "quantity", "price",
                                                F.lit(0).alias("cluster"))
-    b = FL.month_between(c, "ts", 8, 9).select("l_orderkey", "flag", "quantity", "discount",
+    b = FL.month_between(c, "ts", 7, 12).select("l_orderkey", "flag", "quantity", "discount",
                                                F.lit(1).alias("cluster_label"))
-    pa = _write_csv(a, f"{root}/labelled_kmeans_mar_jun")
-    pb = _write_csv(b, f"{root}/labelled_dbscan_ago_set")
+    pa = _write_csv(a, f"{root}/labelled_kmeans_mar_jun_xgb")
+    pb = _write_csv(b, f"{root}/labelled_DBSCAN_ago_set_iqr_XGB")
     frames = [D.with_provenance(SC.alias_cluster(D.read_text_table(spark, p, sep=",")))
               for p in (pa, pb)]
     u = D.read_many(frames)
     nums = ["l_orderkey", "quantity", "price", "discount", "cluster"]
-    return u.select("method", "period", *[C.clean_number(c).alias(c) if c in nums else F.col(c)
+    return u.select("method", "period", "model", "dataset", *[C.clean_number(c).alias(c) if c in nums else F.col(c)
                                           for c in ("l_orderkey", "flag", *nums[1:])])
 
 
@@ -71,21 +75,24 @@ _JUNK = ["Relatorio de processo", "Gerado automaticamente", "Unidade: linha 1",
          "Periodo: completo", "---"]
 
 
-def _preamble_files(spark, sf_dir, files=4):
-    ev = FX.table(spark, sf_dir, "events")
-    header = "event_id;ts;event_type;value"
+def _preamble_files(spark, sf_dir):
+    """One export per event month; every second one orders its columns
+    differently."""
+    ev = FX.table(spark, sf_dir, "events").withColumn("fk", F.month("ts"))
+    names = ["event_id", "ts", "event_type", "value"]
+    cells = [F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("event_type"),
+             FX.decimal_text("value")]
     body = ev.select(
-        F.pmod(F.col("event_id"), F.lit(files)).alias("fk"), F.lit(len(_JUNK) + 1).alias("ord"),
-        F.concat_ws(";", F.col("event_id").cast("string"),
-                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "event_type",
-                    FX.decimal_text("value")).alias("value"))
-    lines = [(i, t) for i, t in enumerate(_JUNK)] + [(len(_JUNK), header)]
-    pre = spark.range(files).select(
-        F.col("id").alias("fk"),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t).alias("value"))
-                            for i, t in lines])).alias("l")).select("fk", "l.ord", "l.value")
+        "fk", F.lit(len(_JUNK) + 1).alias("ord"), F.when(F.col("fk") % 2 == 0, F.concat_ws(";", *cells))
+        .otherwise(F.concat_ws(";", *cells[::-1])).alias("value"))
+    lines = [(i, t) for i, t in enumerate(_JUNK)]
+    head = (len(_JUNK), F.when(F.col("fk") % 2 == 0, F.lit(";".join(names))).otherwise(F.lit(";".join(names[::-1]))))
+    pre = ev.select("fk").distinct().select(
+        "fk",
+        F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), (t if i == len(_JUNK) else F.lit(t)).alias("value"))
+                            for i, t in [*lines, head]])).alias("l")).select("fk", "l.ord", "l.value")
     path = scratch_path(spark, "preamble_export")
-    (body.unionByName(pre).repartition(files, "fk").sortWithinPartitions("fk", "ord")
+    (body.unionByName(pre).repartition("fk").sortWithinPartitions("fk", "ord")
      .select("fk", "value").write.partitionBy("fk").text(path))
     return path
 
@@ -94,7 +101,8 @@ def _preamble_files(spark, sf_dir, files=4):
 SELECT CAST(event_id AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type,
   {O.dec_text('value')} AS value FROM events""", covers=("S5",))
 def preamble_scan(spark, sf_dir):
-    return D.read_with_preamble(spark, _preamble_files(spark, sf_dir), skip=len(_JUNK), sep=";")
+    return D.read_with_preamble(spark, _preamble_files(spark, sf_dir), skip=len(_JUNK), sep=";").select(
+        "event_id", "ts", "event_type", "value")
 
 
 @register("rewrite_clean", O.with_(O.blocks("1 hour")) + "SELECT * FROM blocks", covers=("S13", "P4"))

@@ -53,10 +53,10 @@ def read_many(frames) -> DataFrame:
     return out
 
 
-def _contains_any(path, table: dict, default: str):
+def _contains_any(name, table: dict, default: str):
     expr = None
     for needle, value in table.items():
-        cond = F.lower(path).contains(needle)
+        cond = name.contains(needle)
         expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
@@ -70,52 +70,70 @@ UNKNOWN = "desconhecido"
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
-    """Method, period, model and dataset read off the file path."""
-    path = F.col("_metadata.file_path")
+    """Method, period, model and dataset read off the name of the file
+    or of the dataset's directory; folders above it don't count, nor do the
+    ``key=value`` ones of partitions. Method and period markers match in any
+    case, model and dataset markers as written."""
+    parts = F.filter(F.split("_metadata.file_path", "/"), lambda x: ~x.contains("="))
+    name = F.array_join(F.slice(parts, -2, 2), "/")
     return df.withColumns({
-        "method": _contains_any(path, METHOD_MARKERS, UNKNOWN.upper()),
-        "period": _contains_any(path, PERIOD_MARKERS, UNKNOWN),
-        "model": _contains_any(path, MODEL_MARKERS, "Outro"),
-        "dataset": _contains_any(path, DATASET_MARKERS, "padrao"),
+        "method": _contains_any(F.lower(name), METHOD_MARKERS, UNKNOWN.upper()),
+        "period": _contains_any(F.lower(name), PERIOD_MARKERS, UNKNOWN),
+        "model": _contains_any(name, MODEL_MARKERS, "Outro"),
+        "dataset": _contains_any(name, DATASET_MARKERS, "padrao"),
     })
 
 
-def _drop_leading_lines(skip: int):
-    """Per partition: drop the first ``skip`` lines and the header line of
-    every file whose first block is in this partition (rows of a block
-    arrive in file order). Vectorised per Arrow batch; the only state is a
-    line counter per file."""
+def _lines(skip: int, header: bool):
+    """The header line of every file (with its path), or all lines after it.
+    Rows of a block arrive in file order; the only state is a line counter
+    per file whose first block is in this partition."""
     def run(batches):
         seen: dict[str, int] = {}
         for pdf in batches:
-            keep = np.ones(len(pdf), dtype=bool)
             first = (pdf["_block"] == 0).to_numpy()
+            pos = np.full(len(pdf), skip + 1, np.int64)
             if first.any():
                 paths = pdf["_path"][first]
                 start = paths.map(seen).fillna(0).to_numpy(dtype=np.int64)
-                pos = start + paths.groupby(paths, sort=False).cumcount().to_numpy()
-                keep[first] = pos > skip
+                pos[first] = start + paths.groupby(paths, sort=False).cumcount().to_numpy()
                 for p, n in paths.value_counts(sort=False).items():
                     seen[p] = seen.get(p, 0) + int(n)
-            yield pd.DataFrame({"value": pdf["value"].to_numpy()[keep]})
+            keep = pos == skip if header else pos > skip
+            yield pd.DataFrame({"value": pdf["value"].to_numpy()[keep], "_path": pdf["_path"].to_numpy()[keep]})
     return run
 
 
+MAX_LAYOUTS = 100
+
+
 def read_with_preamble(spark: SparkSession, path, skip: int = 5, sep: str = ";") -> DataFrame:
-    """A delimited export with ``skip`` junk lines before its header.
+    """Delimited exports with ``skip`` junk lines before their header.
 
-    The header is read from the first block of one file (a bounded job);
-    the body drops each file's leading lines in a ``mapInPandas`` over the
-    text scan and parses the rest with ``from_csv`` into string columns.
+    Every file's own header names its columns, so files may order them
+    differently; a column that a file lacks is null there. The headers come
+    from the first blocks; the body drops the leading lines in a
+    ``mapInPandas`` over the text scan and is parsed with ``from_csv`` into
+    string columns, once per distinct header (at most ``MAX_LAYOUTS``).
     """
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block"))
-    head = raw.filter(F.col("_block") == 0).limit(skip + 1).collect()
-    if len(head) <= skip:
+    heads = raw.filter(F.col("_block") == 0).mapInPandas(_lines(skip, True), "value string, _path string")
+    layouts = [r["value"] for r in heads.select("value").distinct().limit(MAX_LAYOUTS + 1).collect()]
+    if not layouts:
         raise ValueError(f"fewer than {skip + 1} lines in the first block")
-    names = head[skip]["value"].split(sep)
-    body = raw.mapInPandas(_drop_leading_lines(skip), "value string")
-    ddl = ", ".join(f"`{n}` STRING" for n in names)
-    parsed = body.select(F.from_csv("value", ddl, {"sep": sep}).alias("r"))
-    return parsed.select(*[F.col("r").getField(n).alias(n) for n in names])
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different headers")
+    body = raw.mapInPandas(_lines(skip, False), "value string, _path string")
+    if len(layouts) > 1:
+        body = body.join(heads.select("_path", F.col("value").alias("_head")), "_path")
+    out = None
+    for head in sorted(layouts):
+        names = head.split(sep)
+        ddl = ", ".join(f"`{n}` STRING" for n in names)
+        rows = body.filter(F.col("_head") == head) if len(layouts) > 1 else body
+        parsed = rows.select(F.from_csv("value", ddl, {"sep": sep}).alias("r"))
+        one = parsed.select(*[F.col("r").getField(n).alias(n) for n in names])
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
