@@ -19,6 +19,8 @@ TS_FORMATS_INFERRED = (
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd",
 )
+# the same four in one pattern: one parse a cell, not one for each
+TS_FORMAT_INFERRED = "yyyy-MM-dd[ HH:mm[:ss[.SSSSSS]]]"
 # plain decimal number, optional sign and exponent; Spark's own cast also
 # takes '1d', '1f' and hex floats, which pandas and DuckDB refuse
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -81,7 +83,10 @@ def parse_ts(c, fmt: str = TS_FORMAT_FRACTION) -> Column:
 
 
 def parse_ts_any(c, fmts=TS_FORMATS_INFERRED) -> Column:
-    """First format that parses wins, else null (P10)."""
+    """First format that parses wins, else null (P10). The inferred formats
+    nest, so one pattern with optional parts takes exactly the same texts."""
+    if tuple(fmts) == TS_FORMATS_INFERRED:
+        fmts = (TS_FORMAT_INFERRED,)
     return _wall(F.coalesce(*[F.try_to_timestamp(col_(c), F.lit(f)) for f in fmts]))
 
 

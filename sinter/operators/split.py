@@ -2,8 +2,9 @@
 
 All splits label rows (a ``split`` column) instead of producing separate
 frames, so one cached or checkpointed table flows through fit, calibrate
-and evaluate. Row numbers come from ``sequence.row_number`` (range
-partitioned, no single-partition window).
+and evaluate. Row numbers of the chronological split come from
+``sequence.row_number`` (range partitioned, no single-partition window);
+the seeded split finds its cut by histograms and sorts nothing.
 """
 
 from __future__ import annotations
@@ -42,18 +43,47 @@ def hash_key(row_id: str, seed: int = 42):
     return F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{int(seed)}")))
 
 
+KEY_BITS, LEVEL_BITS = 60, 12
+
+
+def rank_cut(df: DataFrame, key: str, rank: int) -> tuple[int, int]:
+    """The key (a number of ``KEY_BITS`` bits) of the row at 1-based
+    ``rank`` in key order, and how many rows have a smaller one. Found by
+    histograms of 2^12 buckets, each refining the bucket that holds the
+    rank: no sort, and only bucket counts are exchanged."""
+    lo, below = 0, 0
+    for bits in range(KEY_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
+        inside = df.filter((F.col(key) >= lo) & (F.col(key) < lo + (1 << (bits + LEVEL_BITS))))
+        hist = inside.groupBy(F.expr(f"shiftright({key} - {lo}L, {bits})").alias("b")).count().collect()
+        for b, n in sorted((r["b"], r["count"]) for r in hist):
+            if below + n >= rank:
+                lo += b << bits
+                break
+            below += n
+    return lo, below
+
+
 def seeded_split(df: DataFrame, row_id: str, test_frac: float = 0.3, seed: int = 42,
                  name: str = "split", n: int | None = None) -> DataFrame:
     """Exactly ceil(f*n) rows are ``test``, chosen by a seeded hash
     order of a stable row id (independent of partitioning, unlike
-    ``randomSplit``)."""
+    ``randomSplit``). The hash that cuts the order is found by histograms;
+    rows are then labelled where they lie. Only rows that share this one
+    hash are put in order."""
     n = df.count() if n is None else n
     n_test = n_test_of(n, test_frac)
-    x = df.withColumn("_hk", hash_key(row_id, seed))
-    x = row_number(x, ["_hk", row_id], "_hrn")
-    return (x.withColumn(name, F.when(F.col("_hrn") <= F.lit(n_test), F.lit("test"))
-                         .otherwise(F.lit("train")))
-            .drop("_hk", "_hrn"))
+    if not n_test:
+        return df.withColumn(name, F.lit("train"))
+    # the first 60 bits of the md5, in the same order as its text
+    h = F.conv(F.substring(hash_key(row_id, seed), 1, 15), 16, 10).cast("long")
+    x = df.withColumn("_h", F.coalesce(h, F.lit((1 << KEY_BITS) - 1)))
+    cut, below = rank_cut(x.select("_h"), "_h", n_test)
+    free = x.filter(F.col("_h") != cut).withColumn(
+        name, F.when(F.col("_h") < cut, F.lit("test")).otherwise(F.lit("train")))
+    tied = x.filter(F.col("_h") == cut).withColumn("_hk", hash_key(row_id, seed))
+    tied = row_number(tied, ["_hk", row_id], "_hrn").withColumn(
+        name, F.when(F.col("_hrn") <= n_test - below, F.lit("test")).otherwise(F.lit("train")))
+    return free.drop("_h").unionByName(tied.drop("_h", "_hk", "_hrn"))
 
 
 def cap_rows(df: DataFrame, max_rows: int, rn: str = "row_number",

@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # parquet scans: 128 MiB splits keep a task's input inside executor memory
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
 }
