@@ -108,16 +108,19 @@ def coerce_all(df: DataFrame, exclude=(), sentinels=(C.SENTINEL,)) -> DataFrame:
     return df.select(*out)
 
 
-def castable_columns(df: DataFrame, cols=None, sentinels=(C.SENTINEL,)) -> dict[str, bool]:
-    """A text column is numeric iff every non-null cell parses.
-
-    One pass: ``count_if(cell is not null and number(cell) is null)``.
-    """
+def bad_cells(df: DataFrame, cols=None, sentinels=(C.SENTINEL,)) -> dict[str, int]:
+    """Cells of each text column that aren't numbers, in one pass:
+    ``count_if(cell is not null and number(cell) is null)``."""
     cols = list(cols or string_columns(df))
     prepared = {c: C.null_sentinels(C.decimal_comma(c), sentinels) for c in cols}
     row = df.agg(*[F.count_if(prepared[c].isNotNull() & C.to_number(prepared[c]).isNull())
                    .alias(c) for c in cols]).first()
-    return {c: row[c] == 0 for c in cols}
+    return {c: row[c] for c in cols}
+
+
+def castable_columns(df: DataFrame, cols=None, sentinels=(C.SENTINEL,)) -> dict[str, bool]:
+    """A text column is numeric iff every non-null cell parses."""
+    return {c: n == 0 for c, n in bad_cells(df, cols, sentinels).items()}
 
 
 def cast_castable(df: DataFrame, cols=None, dtype: str = "float",

@@ -38,6 +38,21 @@ def chrono_split(df: DataFrame, order, test_frac: float = 0.2, cal_frac: float |
     return x.withColumn(name, label)
 
 
+def keyed_chrono_split(df: DataFrame, order, key: str, test_frac: float = 0.2, cal_frac: float | None = None,
+                       name: str = "split", rn: str = "row_number") -> DataFrame:
+    """W7/W8 inside each ``key``: the last ceil(f*n) rows of a key by
+    ``order`` are ``test``, the last ceil(cal_frac * n_train) of its other
+    rows ``cal``. Needs a row per key on the executors: the counts are
+    joined (broadcast by AQE while small)."""
+    x = row_number(df, order, rn, key=key)
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_train", F.col("_n") - F.ceil(F.col("_n") * F.lit(test_frac)))
+    n = n.withColumn("_cal", F.ceil(F.col("_train") * F.lit(cal_frac or 0.0)))
+    label = (F.when(F.col(rn) > F.col("_train"), F.lit("test"))
+             .when(F.col(rn) > F.col("_train") - F.col("_cal"), F.lit("cal")).otherwise(F.lit("train")))
+    return x.join(n, key).withColumn(name, label).drop("_n", "_train", "_cal")
+
+
 def hash_key(row_id: str, seed: int = 42):
     """Portable seeded order key: md5 of '<row_id>:<seed>' (same in DuckDB)."""
     return F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{int(seed)}")))

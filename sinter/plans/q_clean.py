@@ -110,11 +110,9 @@ def _castable_sql():
 @register("castable_columns", _castable_sql(), covers=("P17",))
 def castable_columns(spark, sf_dir):
     m = FX.messy_lineitem(spark, sf_dir).select(*_TEXT_COLS)
-    prepared = {c: C.null_sentinels(C.decimal_comma(c)) for c in _TEXT_COLS}
-    wide = m.agg(*[F.count_if(prepared[c].isNotNull() & C.to_number(prepared[c]).isNull()).alias(c)
-                   for c in _TEXT_COLS])
-    long = wide.unpivot([], list(_TEXT_COLS), "column_name", "bad_cells")
-    return long.withColumn("castable", F.col("bad_cells") == 0)
+    bad, good = SC.bad_cells(m), SC.castable_columns(m)
+    return spark.createDataFrame([(c, bad[c], good[c]) for c in _TEXT_COLS],
+                                 "column_name string, bad_cells long, castable boolean")
 
 
 @register("cast_castable", O.with_(O.MESSY) + f"""
@@ -162,10 +160,9 @@ _RENAME = {"click_mediana": "cliques_mediana", "view_mediana": "visitas_mediana"
 @register("rename_select", O.with_(O.blocks("1 hour")) + """
 SELECT ts, click_mediana AS cliques_mediana, error_mediana, signup_mediana,
        view_mediana AS visitas_mediana, purchase_laudo FROM blocks""",
-          covers=("P1", "P2", "P5", "P6"))
+          covers=("P1", "P5", "P6"))
 def rename_select(spark, sf_dir):
     b = SC.rename(FX.block_table(spark, sf_dir), _RENAME)
-    b = SC.alias_cluster(b)
     feats = SC.suffix_columns(b, "_mediana", exclude=("purchase_laudo",))
     nums = SC.numeric_columns(b.select(*feats, "purchase_laudo"))
     return b.select("ts", *nums)

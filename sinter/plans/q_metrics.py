@@ -126,6 +126,15 @@ def bin_assignment(spark, sf_dir):
     return EV.assign_bins(p, EV.linspace_edges(lo, hi, 10)).select("model", "actual", "bin_idx", "bin_mid")
 
 
+@register("skipped_bins", O.with_(O.PREDICTIONS) + _edges_cte(400) + """
+SELECT 400 AS bins, count(*) AS n_skipped FROM (
+  SELECT model, bin_idx FROM binned WHERE bin_idx BETWEEN 1 AND 399 GROUP BY ALL HAVING count(*) < 2)""",
+          covers=("A7",))
+def skipped_bins(spark, sf_dir):
+    n = EV.skipped_bins(FX.predictions(spark, sf_dir), bins=400)
+    return spark.createDataFrame([(400, n)], "bins int, n_skipped long")
+
+
 @register("value_range", O.with_(O.PREDICTIONS) + "SELECT min(actual) AS lo, max(actual) AS hi FROM preds",
           covers=("A3",))
 def value_range(spark, sf_dir):

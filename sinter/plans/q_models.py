@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from sinter.functions import metrics as M
 from sinter.functions.clean import round6
 from sinter.operators import conformal as CF, features as FE, models as MD, split as SP
-from sinter.operators.sequence import row_number
 from sinter.plans import fixtures as FX, oracle as O
 from sinter.plans.catalog import register
 
@@ -83,14 +82,7 @@ def _conformal_split(spark, sf_dir):
     """Per model: test = last ceil(0.2 n) rows by time, cal = last
     ceil(0.1 n_train) of the rest (W7, W8 per group)."""
     p = FX.event_predictions(spark, sf_dir)
-    p = row_number(p, ["ts", "event_id"], "rn", key="model")
-    n = p.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    n = n.withColumn("n_train", F.col("n") - F.ceil(F.col("n") * 0.2))
-    n = n.withColumn("n_cal", F.ceil(F.col("n_train") * 0.1))
-    p = p.join(n, "model")          # one row per model; AQE broadcasts it when small
-    return p.withColumn("split", F.when(F.col("rn") > F.col("n_train"), "test")
-                        .when(F.col("rn") > F.col("n_train") - F.col("n_cal"), "cal")
-                        .otherwise("train"))
+    return SP.keyed_chrono_split(p, ["ts", "event_id"], "model", test_frac=0.2, cal_frac=0.1)
 
 
 _CONF_SQL = O.with_(O.EVENT_PREDS) + """
