@@ -127,3 +127,15 @@ def side_by_side(df: DataFrame, models, ts: str = "ts", value: str = "predicted"
     d = date_slice(df, ts, start, end) if start and end else df
     return (d.groupBy(F.date_trunc(every, ts).cast("timestamp_ntz").alias(ts))
             .pivot("model", list(models)).agg(F.avg(value)))
+
+
+def side_by_side_rows(df: DataFrame, models, index=("ts",), y: str = "actual",
+                      values=("predicted", "lower", "upper"), start: str | None = None,
+                      end: str | None = None) -> DataFrame:
+    """M13 row by row: for each ``index`` the actual value and every model's
+    prediction and interval (``<value>_<model>``, null where a model has no
+    row), optionally inside a date range (F9)."""
+    from sinter.operators.filters import date_slice
+    d = date_slice(df, index[0], start, end) if start and end else df
+    return d.groupBy(*index).agg(F.max(y).alias(y), *[
+        F.max(F.when(F.col("model") == m, F.col(v))).alias(f"{v}_{m}") for m in models for v in values])

@@ -177,3 +177,11 @@ GROUP BY 1""", covers=("M13", "F9"))
 def models_side_by_side(spark, sf_dir):
     p = FX.predictions(spark, sf_dir)
     return EV.side_by_side(p, MODELS, start="1996-03-01", end="1996-03-31")
+
+
+@register("models_by_row", O.with_(O.PREDICTIONS) + """
+SELECT ts, l_orderkey, l_linenumber, max(actual) AS actual, """ + ", ".join(
+    f"max({v}) FILTER (WHERE model = '{m}') AS {v}_{m}" for m in MODELS for v in ("predicted", "lower", "upper")) + """
+FROM preds GROUP BY ALL""", covers=("M13",))
+def models_by_row(spark, sf_dir):
+    return EV.side_by_side_rows(FX.predictions(spark, sf_dir), MODELS, index=("ts", "l_orderkey", "l_linenumber"))
