@@ -20,8 +20,8 @@ def profile(df: DataFrame, by: str = "cluster", cols=None, digits: int | None =
     """A1: count, mean, sample std and median of every numeric column per
     group, flat names ``<col>_<stat>``, rounded half-even to ``digits``.
 
-    count / mean / std are one grouped aggregate; medians are selected over
-    the wide columns, so no group's values are gathered in one task. Rows
+    count / mean / std are partial aggregates; medians are selected over the
+    wide columns, so no group's values are gathered in one task. Rows
     with a null group key are left out, as pandas ``groupby`` does."""
     from sinter.operators.quantiles import exact_medians
     cols = [c for c in (cols or numeric_columns(df)) if c != by]
@@ -30,22 +30,20 @@ def profile(df: DataFrame, by: str = "cluster", cols=None, digits: int | None =
     def rnd(x):
         return round_half_even(x, digits) if digits is not None else x
 
-    aggs = []
-    for c in cols:
-        for s in stats:
-            if s == "count":
-                aggs.append(F.count(c).alias(f"{c}_count"))
-            elif s == "mean":
-                aggs.append(rnd(F.avg(c)).alias(f"{c}_mean"))
-            elif s == "std":
-                aggs.append(rnd(F.stddev_samp(c)).alias(f"{c}_std"))
-            elif s != "median":
-                raise ValueError(f"unknown statistic {s}")
-    out = df.groupBy(by).agg(*aggs)
+    unknown = set(stats) - set(STATS)
+    if unknown:
+        raise ValueError(f"unknown statistics {sorted(unknown)}")
+
+    def moments(c):
+        made = {"count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c)}
+        return {k: made[k] for k in stats if k != "median"}
+
     if "median" in stats and cols:
-        med = exact_medians(df, [by], cols)
-        wide = med.select(by, *[rnd(F.col(c)).alias(f"{c}_median") for c in cols])
-        out = out.join(wide, by, "left")
+        # the moments share the medians' first pass
+        out = exact_medians(df, [by], cols, moments).withColumnsRenamed({c: f"{c}_median" for c in cols})
+    else:
+        out = df.groupBy(by).agg(*[a.alias(f"{c}_{k}") for c in cols for k, a in moments(c).items()])
+    out = out.withColumns({f"{c}_{k}": rnd(F.col(f"{c}_{k}")) for c in cols for k in stats if k != "count"})
     order = [by] + [f"{c}_{s}" for c in cols for s in stats]
     return out.select(*order)
 

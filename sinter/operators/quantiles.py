@@ -39,15 +39,17 @@ def _below(limit):
     return lambda x: x < limit
 
 
-def _select(d: DataFrame, by, slots, levels) -> DataFrame:
+def _select(d: DataFrame, by, slots, levels, extra=()) -> DataFrame:
     """``d`` has the keys ``by`` and value columns; ``slots`` are (value
     column, probability column or literal). Returns one row per group with
-    ``n{i}``, ``p{i}`` and ``q{i}`` for every slot."""
+    ``n{i}``, ``p{i}`` and ``q{i}`` for every slot, and the ``extra``
+    aggregates, which share the first pass."""
     def stat(i, v, p):
         prob = F.first(p) if isinstance(p, str) else F.lit(float(p))
         return [F.count(v).alias(f"n{i}"), prob.cast("double").alias(f"p{i}")]
 
-    state = d.groupBy(*by).agg(*[a for i, (v, p) in enumerate(slots) for a in stat(i, v, p)])
+    state = d.groupBy(*by).agg(*[a for i, (v, p) in enumerate(slots) for a in stat(i, v, p)], *extra)
+    kept = [c for c in state.columns if c not in by and c[0] not in "np"]
     none = F.lit(None).cast("double")
     new = {}
     for i in range(len(slots)):
@@ -101,7 +103,7 @@ def _select(d: DataFrame, by, slots, levels) -> DataFrame:
         frac = pos - F.col(f"r{i}")
         out[f"q{i}"] = F.when(frac == 0, F.col(f"v{i}")).when(F.col(f"v{i}") == F.col(f"w{i}"), F.col(f"v{i}")).otherwise(
             F.col(f"v{i}") + (F.col(f"w{i}") - F.col(f"v{i}")) * frac)
-    return state.withColumns(out).select(*by, *[f"{c}{i}" for i in range(len(slots)) for c in "npq"])
+    return state.withColumns(out).select(*by, *[f"{c}{i}" for i in range(len(slots)) for c in "npq"], *kept)
 
 
 def _narrow(i: int) -> dict:
@@ -162,15 +164,20 @@ def exact_quantiles(df: DataFrame, by, value, probs=None, prob_col: str | None =
     return wide.select(*by, each.alias("s")).select(*by, "s.p", "s.n", "s.q")
 
 
-def exact_medians(df: DataFrame, by, cols) -> DataFrame:
+def exact_medians(df: DataFrame, by, cols, extra=None) -> DataFrame:
     """``by...`` and the median of each of ``cols`` under its own name, all
-    columns in the same passes; null where a group has no value."""
+    columns in the same passes; null where a group has no value.
+    ``extra(column)`` -> {suffix: aggregate} of a column as a double adds
+    ``<col>_<suffix>``, taken in the first pass."""
     by, cols = list(by), list(cols)
+    more = {f"{c}_{k}": a for i, c in enumerate(cols) for k, a in (extra(f"_x{i}") if extra else {}).items()}
+    aggs = [a.alias(f"_e{j}") for j, a in enumerate(more.values())]
     d, keys = _keyed(df, by, {f"_x{i}": _value(c) for i, c in enumerate(cols)})
     d = d.persist()
-    wide = _select(d, keys, [(f"_x{i}", 0.5) for i in range(len(cols))], _levels([0.5]))
+    wide = _select(d, keys, [(f"_x{i}", 0.5) for i in range(len(cols))], _levels([0.5]), aggs)
     d.unpersist()
-    return wide.select(*by, *[F.col(f"q{i}").alias(c) for i, c in enumerate(cols)])
+    return wide.select(*by, *[F.col(f"q{i}").alias(c) for i, c in enumerate(cols)],
+                       *[F.col(f"_e{j}").alias(k) for j, k in enumerate(more)])
 
 
 def exact_median(df: DataFrame, by, value) -> DataFrame:
