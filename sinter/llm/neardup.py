@@ -19,9 +19,15 @@ less but an edited copy of a very common text still resembles it.
    ``HEAVY`` members (at most a fixed number of buckets can be) are split by
    salt; the hubs of the parts meet in a second round.
 3. Proposals are verified on the shingles themselves: exact weighted Jaccard
-   similarity of at least ``SIMILARITY``.
-4. Verified links give connected components; a class is a component with
-   all exact copies, named by its smallest document id.
+   similarity of at least ``SIMILARITY``. Verified links give components.
+4. Buckets that still hold members of several components are read again:
+   all pairs of different components whose samples agree enough are verified
+   in place, so a pair that shares a band is left out only if it already is
+   in one component. A bucket of more than ``PART`` members or
+   ``PART_SHINGLES`` shingles is cut into m parts, and every two parts meet
+   in a tile of their own: members are copied m times, pairs never are.
+5. A class is a component with all exact copies, named by its smallest
+   document id.
 
 Defined results: null, empty and blank texts have no shingle and are each
 a class of their own, named by the row's own id; a text of fewer than 5
@@ -49,6 +55,7 @@ HEAVY = 4096
 LEAST_AGREEMENT = 0.6  # 3.4 standard deviations below SIMILARITY at 48 samples
 SLICE_BYTES = 1 << 20
 BROADCAST_NODES = 2_000_000
+PART, PART_SHINGLES = 1024, 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -195,7 +202,8 @@ def samples(h: np.ndarray, log_w: np.ndarray, per: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, log_w: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """One row per distinct text with shingles: node, its smallest id, its
-    number of rows, band keys and one byte of every sample."""
+    number of rows, band keys, one byte of every sample, and how many
+    shingles it has."""
     bc = docs.sparkSession.sparkContext.broadcast(log_w)
 
     def sign(batches):
@@ -206,7 +214,7 @@ def signatures(docs: DataFrame, log_w: np.ndarray, id_col: str, text_col: str) -
             uniq, first = np.unique(node, return_index=True)
             texts = batch.column(2).take(pa.array(first))
             data, off = text_bytes(texts)
-            bands, sig, ok = [], [], []
+            bands, sig, ok, size = [], [], [], []
             for a, b in byte_slices(off, SLICE_BYTES):
                 h, times, per = shingles(data[off[a]:off[b]], off[a:b + 1] - off[a])
                 has = np.flatnonzero(per)
@@ -220,6 +228,7 @@ def signatures(docs: DataFrame, log_w: np.ndarray, id_col: str, text_col: str) -
                 bands.append(key.astype(np.int64))
                 sig.append((s & np.uint64(0xFF)).astype(np.uint8))
                 ok.append(a + has)
+                size.append(per[has])
             if not ok:
                 continue
             ok = np.concatenate(ok)
@@ -235,14 +244,14 @@ def signatures(docs: DataFrame, log_w: np.ndarray, id_col: str, text_col: str) -
             yield pa.RecordBatch.from_arrays(
                 [pa.array(uniq[ok]), least, pa.array(n[ok]),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
-                 pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["node", "id", "n", "bands", "sig"])
+                 pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(np.concatenate(size))],
+                names=["node", "id", "n", "bands", "sig", "size"])
 
     rows = docs.filter(F.col(text_col).isNotNull()).select(
         F.xxhash64(text_col).alias("node"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    signed = map_arrow(rows, sign, "node long, id long, n long, bands array<long>, sig binary")
+    signed = map_arrow(rows, sign, "node long, id long, n long, bands array<long>, sig binary, size long")
     return signed.groupBy("node").agg(F.min("id").alias("id"), F.sum("n").alias("n"),
-                                      F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+                                      F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("size").alias("size"))
 
 
 def propose(node: np.ndarray, sig: np.ndarray):
@@ -418,6 +427,153 @@ def verify(links: DataFrame, feats: DataFrame, log_w: np.ndarray, threshold: flo
     return map_arrow(both, check, "a long, b long, similarity double")
 
 
+def tiles(nodes: DataFrame) -> DataFrame:
+    """Members (node, label, size, bands, sig) of the buckets that hold
+    several labels, once for each tile of the bucket: (tile, apart, part,
+    band, node, label, sig, bands). A tile with ``apart`` pairs the members
+    of its two parts, another one all its members."""
+    members = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "label", "size")
+    mixed = store(members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                             F.count("*").alias("n"), F.sum("size").alias("size"))
+                  .filter("low < high")
+                  .select("key", F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("size") / PART_SHINGLES))
+                          .cast("int").alias("m")), "neardup-mixed")
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")).cast("int")
+    inside = (members.drop("label", "size").join(mixed, "key").withColumn("part", part)
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))))
+    return inside.select(
+        F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("tile"),
+        (F.col("part") != F.col("other")).alias("apart"), "part", "band", "node").join(
+        nodes.select("node", "label", "sig", "bands"), "node").select(
+        "tile", "apart", "part", "band", "node", "label", "sig", "bands")
+
+
+def _runs(batches):
+    """Rows sorted by their first column -> one table for each value of it."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(0).to_numpy(zero_copy_only=False)
+        cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            if held and key != k[lo]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = k[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def tile_pairs(tile: pa.Table):
+    """Pairs of rows i < j of a tile with different labels whose samples
+    agree enough, in blocks (i, j) sorted by i. A pair that an earlier band
+    brings together as well is left to that band's bucket."""
+    n = tile.num_rows
+    label, part = (tile[c].to_numpy() for c in ("label", "part"))
+    apart, band = tile["apart"][0].as_py(), tile["band"][0].as_py()
+    sig = np.frombuffer(b"".join(tile["sig"].to_pylist()), np.uint8).reshape(n, -1)
+    bands = np.array(tile["bands"].combine_chunks().flatten()).reshape(n, -1)[:, :band]
+    least = int(np.ceil(LEAST_AGREEMENT * sig.shape[1] - 1e-9))
+    step = max(1, (1 << 24) // (n * sig.shape[1]))
+    for a in range(0, n, step):
+        ok = label[a:a + step, None] != label[None, a:]
+        if apart:
+            ok &= part[a:a + step, None] != part[None, a:]
+        ok &= np.arange(len(ok))[:, None] < np.arange(n - a)[None, :]
+        if not ok.any():
+            continue
+        ok &= np.count_nonzero(sig[a:a + step, None, :] == sig[None, a:, :], axis=2) >= least
+        i, j = np.nonzero(ok)
+        for x in range(0, len(i), 1 << 20):
+            ii, jj = a + i[x:x + (1 << 20)], a + j[x:x + (1 << 20)]
+            new = ~(bands[ii] == bands[jj]).any(1)
+            yield ii[new], jj[new]
+
+
+def _open_members(batches):
+    """Rows of tiles -> those members of a tile that have a pair to verify."""
+    for tile in _runs(batches):
+        hit = np.zeros(tile.num_rows, bool)
+        for i, j in tile_pairs(tile):
+            hit[i] = hit[j] = True
+        if hit.any():
+            yield pa.RecordBatch.from_arrays(
+                [tile[c].combine_chunks().filter(pa.array(hit)) for c in ("tile", "apart", "part", "band", "node")],
+                names=["tile", "apart", "part", "band", "node"])
+
+
+def tile_links(tile: pa.Table, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (label, label) of verified pairs of a tile (with column ``f``)
+    that join labels not yet joined by the links before them."""
+    raw = [f.as_py() for f in tile["f"]]
+    k = np.array([len(f) // 6 for f in raw])
+    off = np.cumsum(k) - k
+    h = np.concatenate([np.frombuffer(f, "<u4", len(f) // 6) for f in raw])
+    t = np.concatenate([np.frombuffer(f, "<u2", -1, len(f) // 6 * 4) for f in raw])
+    w = idf[bucket_of(h)] * t
+    total = np.add.reduceat(w, off)
+    vocab, at = np.unique(h, return_inverse=True)
+    label, group = np.unique(tile["label"].to_numpy(), return_inverse=True)
+    dense, links = np.zeros(len(vocab)), []
+    for ii, jj in tile_pairs(tile):
+        # the lighter text holds all that two can share
+        low, high = np.minimum(total[ii], total[jj]), np.maximum(total[ii], total[jj])
+        keep = low >= (threshold - 1e-9) * high
+        ii, jj = ii[keep], jj[keep]
+        cut = [0, *(np.flatnonzero(ii[1:] != ii[:-1]) + 1).tolist(), len(ii)] if len(ii) else [0]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            i = ii[lo]
+            j = jj[lo:hi][group[jj[lo:hi]] != group[i]]
+            own = slice(off[i], off[i] + k[i])
+            dense[at[own]] = w[own]
+            # a run of partners at a time, one at least
+            while len(j):
+                many = max(1, int(np.searchsorted(np.cumsum(k[j]), 1 << 20)))
+                x = j[:many]
+                rows = ragged(off[x], k[x])
+                both = np.add.reduceat(np.minimum(dense[at[rows]], w[rows]), np.cumsum(k[x]) - k[x])
+                for y in x[both / (total[i] + total[x] - both) >= threshold]:
+                    if group[y] != group[i]:
+                        links.append((int(tile["label"][int(i)].as_py()), int(tile["label"][int(y)].as_py())))
+                        group[group == group[y]] = group[i]
+                j = j[many:]
+                j = j[group[j] != group[i]]
+            dense[at[own]] = 0.0
+    return links
+
+
+def join_labels(docs: DataFrame, nodes: DataFrame, feats: DataFrame, log_w: np.ndarray, text_col: str,
+                threshold: float = SIMILARITY) -> DataFrame | None:
+    """Links (a, b) between labels of ``nodes`` that share a bucket, by pairs
+    of members that are at least ``threshold`` alike; None if there are none
+    to verify."""
+    rows = tiles(nodes)
+    still = store(map_arrow(rows.repartition("tile").sortWithinPartitions("tile"), _open_members,
+                            "tile long, apart boolean, part int, band int, node long"), "neardup-open")
+    wanted = still.select("node").distinct()
+    if not wanted.limit(1).count():
+        return None
+    missing = store(wanted.join(feats, "node", "left_anti"), "neardup-missing")
+    more = store(features(docs, missing, text_col), "neardup-features")
+    bc = docs.sparkSession.sparkContext.broadcast(np.exp(log_w.astype(np.float64)))
+
+    def check(batches):
+        for tile in _runs(batches):
+            links = tile_links(tile, bc.value, threshold)
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
+                                                 names=["a", "b"])
+
+    full = (still.join(nodes.select("node", "label", "sig", "bands"), "node")
+            .join(feats.unionByName(more), "node")
+            .select("tile", "apart", "part", "band", "node", "label", "sig", "bands", "f"))
+    return store(map_arrow(full.repartition("tile").sortWithinPartitions("tile"), check, "a long, b long")
+                 .distinct(), "neardup-joined")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component. Every
     round takes the least label of all neighbours, hands it to the old label
@@ -453,8 +609,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     feats = store(features(docs.select(text_col), wanted, text_col), "neardup-features")
     verified = store(verify(links, feats, log_w, threshold), "neardup-verified")
-    labelled = nodes.select("node", "id", "n").join(components(verified), "node", "left").withColumn(
-        "label", F.coalesce("label", "node"))
+    labelled = store(nodes.join(components(verified), "node", "left").withColumn(
+        "label", F.coalesce("label", "node")), "neardup-labelled")
+    joined = join_labels(docs.select(text_col), labelled, feats, log_w, text_col, threshold)
+    labelled = labelled.select("node", "id", "n", "label")
+    if joined is not None:
+        up = components(joined).toDF("label", "__up")
+        labelled = labelled.join(up, "label", "left").select(
+            "node", "id", "n", F.coalesce("__up", "label").alias("label"))
     names = labelled.groupBy("label").agg(
         F.min("id").alias("class_id"), F.sum("n").alias("class_size"),
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"].alias("first_node"))

@@ -312,6 +312,50 @@ def test_buckets_larger_than_a_part_stay_linked(spark, monkeypatch):
     assert {r.class_id for r in neardup.near_duplicates(docs).collect()} == {0}
 
 
+def matrix_classes(texts, threshold):
+    """As ``brute_classes``, for texts that repeat no shingle."""
+    data, off = text_bytes(pa.array(texts, pa.large_string()))
+    h, times, per = neardup.shingles(data, off)
+    assert (times == 1).all() and (per > 0).all()
+    bucket = neardup.bucket_of(h)
+    idf = np.exp(neardup.log_idf(np.bincount(bucket, minlength=1 << neardup.DF_BITS), len(texts)).astype(float))
+    vocab, at = np.unique(h, return_inverse=True)
+    x = np.zeros((len(texts), len(vocab)))
+    x[np.repeat(np.arange(len(texts)), per), at] = np.sqrt(idf[bucket])
+    low = x @ x.T
+    total = np.diag(low)
+    alike = low / (total[:, None] + total[None, :] - low)
+    label = np.arange(len(texts))
+    while True:
+        new = np.where(alike >= threshold, label[None, :], len(texts)).min(1)
+        if (new == label).all():
+            return alike, label.tolist()
+        label = new
+
+
+def family(rng, letters, n, twins):
+    """Texts that share a passage, about 0.7 alike; the first ``twins`` of
+    them have one more text each that is over 0.8 alike."""
+    def word(k):
+        return "".join(rng.choice(k) for _ in range(9))
+
+    passage = " ".join(word(letters) for _ in range(70))
+    own = [[word("abcdefgh") for _ in range(9)] for _ in range(n)]
+    pairs = [o[:2] + [word("xyz")] + o[3:] for o in own[:twins]]
+    return [passage + " " + " ".join(o) for o in own + pairs]
+
+
+def test_twins_in_a_family_with_a_passage(spark):
+    n, twins = 1500, 100
+    texts = family(random.Random(10), "mnop", n, twins)
+    alike, expected = matrix_classes(texts, 0.8)
+    assert expected == [i if i < n else i - n for i in range(n + twins)]
+    assert 0.65 < np.median(alike) < 0.77
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs.repartition(4)).collect()}
+    assert got == dict(enumerate(expected))
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(links).collect()}
