@@ -17,7 +17,8 @@ less but an edited copy of a very common text still resembles it.
    gives fewer than 2 n proposals and no list of pairs. Pairs whose samples
    agree far less than the threshold allows are not proposed. Buckets above
    ``HEAVY`` members (at most a fixed number of buckets can be) are split by
-   salt; the hubs of the parts meet in a second round.
+   salt; the hubs of the parts meet in a second round. This only finds most
+   links cheaply: step 4 makes up for what the hubs and parts miss.
 3. Proposals are verified on the shingles themselves: exact weighted Jaccard
    similarity of at least ``SIMILARITY``. Verified links give components.
 4. Buckets that still hold members of several components are read again:

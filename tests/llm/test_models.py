@@ -356,6 +356,28 @@ def test_twins_in_a_family_with_a_passage(spark):
     assert got == dict(enumerate(expected))
 
 
+def test_split_buckets_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    one = family(rng, "mnop", 150, 30)
+    # a second family round the same passage, whose classes are paths, not stars
+    passage, paths = one[0].split()[:70], []
+    for c in range(6):
+        copy = passage + words(rng, "qrstuv", 14).split()
+        for k in range(6):
+            copy = list(copy)
+            copy[71 + 2 * k] = words(rng, "wxyz", 1) + f"z{c}z{k}"
+            paths.append(" ".join(copy))
+    texts = one + paths
+    _, expected = matrix_classes(texts, 0.8)
+    assert 150 < len(set(expected)) < 160
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for heavy, part in ((8, 16), (4096, 40)):
+        monkeypatch.setattr(neardup, "HEAVY", heavy)
+        monkeypatch.setattr(neardup, "PART", part, raising=False)
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+        assert got == dict(enumerate(expected)), (heavy, part)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(links).collect()}
