@@ -452,7 +452,8 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = P
            id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
     """Texts and labels of at most ``per_class`` labelled documents of each
     label, those with the smallest hash of the id; and the share of label 1
-    among all of them."""
+    among all of them. A document of several rows gives one of its texts,
+    not a blank one if it has another."""
     known = (labels.select(F.col("doc_id").alias(id_col), F.col("toxic").cast("int").alias("__y"))
              .filter(F.col(id_col).isNotNull() & F.col("__y").isin(0, 1) & learn)
              .groupBy(id_col).agg(F.max("__y").alias("__y")))
@@ -465,9 +466,11 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = P
         return [], [], share
     spark = docs.sparkSession
     small = spark.createDataFrame([(r[0], r[1]) for r in ids], f"{id_col} long, __y int")
+    # one row an id, so at most 2 * per_class rows
+    one = F.min_by("__t", F.struct(F.trim("__t") == "", F.xxhash64("__t")))
     rows = (docs.select(F.col(id_col), F.col(text_col).alias("__t")).filter(F.col("__t").isNotNull())
-            .join(F.broadcast(small), id_col)
-            .orderBy(F.xxhash64(id_col), id_col, F.xxhash64("__t")).limit(2 * per_class).collect())
+            .join(F.broadcast(small), id_col).groupBy(id_col, "__y").agg(one.alias("__t"))
+            .orderBy(F.xxhash64(id_col), id_col).collect())
     return [r["__t"] for r in rows], [r["__y"] for r in rows], share
 
 

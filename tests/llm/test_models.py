@@ -7,6 +7,7 @@ from datetime import date
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sinter.llm import langid, neardup, neighbours, toxicity, urlfilter
 from sinter.llm.common import byte_slices, text_bytes
@@ -156,6 +157,16 @@ def test_toxicity_learns_and_generalises(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_a_repeated_document_leaves_room_for_the_others(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)]
+                                 + [(i, f"text {i} again {k}") for i in (3, 4, 5, 6) for k in range(500)]
+                                 + [(7, " "), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, toxic int")
+    texts, y, share = toxicity.sample(docs.repartition(4), labels, F.lit(True), per_class=20)
+    assert sorted(int(t.split()[1]) for t in texts) == list(range(40))
+    assert [int(t.split()[1]) % 2 for t in texts] == y and share == 0.5
+
+
 def vectors(spark, n, dim, seed, extra=()):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim)).astype(np.float32)
