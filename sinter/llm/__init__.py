@@ -1,3 +1,3 @@
 """Training-data operators: language id, toxicity, nearest neighbours, URL
 filters, token files, packing, chat formatting, mixing, near-duplicate
-removal and quality rules. Nothing outside this package imports it."""
+removal, quality rules, whitening and collocations. Nothing outside this package imports it."""

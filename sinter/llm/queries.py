@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sinter.llm import chat, langid, mixing, neardup, neighbours, packing, quality, tokenfile, toxicity, urlfilter
+from sinter.llm import (chat, langid, mixing, neardup, neighbours, packing, phrases, quality, simhash, tokenfile,
+                        toxicity, urlfilter, whitening)
 from sinter.llm.common import store, table
 
 
@@ -56,6 +57,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "lang", "text"), labels, keep=("doc_id", "lang"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -67,10 +80,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
+    "op13_simhash": op13_simhash,
 }
 
 ORACLE: dict[str, str] = {
     "op4_url_filter": urlfilter.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op12_collocations": phrases.ORACLE,
 }
