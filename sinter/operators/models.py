@@ -11,8 +11,12 @@ from __future__ import annotations
 
 import time
 
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -66,24 +70,37 @@ def linear_model() -> LinearRegression:
     return LinearRegression(solver="normal", regParam=0.0, elasticNetParam=0.0)
 
 
-class PopulationScaler(Estimator):
-    """The library's standardiser (population std) as a pipeline stage."""
+class _ScalerParams(HasInputCols):
+    means = Param(Params._dummy(), "means", "training means, by input column", TypeConverters.toListFloat)
+    stds = Param(Params._dummy(), "stds", "population stds, by input column", TypeConverters.toListFloat)
 
-    def __init__(self, cols):
+
+class PopulationScaler(Estimator, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
+    """The library's standardiser (population std) as a pipeline stage that
+    can be stored."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None):
         super().__init__()
-        self.cols = list(cols)
+        self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
-        return PopulationScalerModel(fit_standardiser(dataset, self.cols))
+        cols = self.getInputCols()
+        stats = fit_standardiser(dataset, cols)
+        # a column without values or spread is divided by 1 later
+        return PopulationScalerModel(inputCols=cols, means=[float(stats[c][0] or 0.0) for c in cols],
+                                     stds=[float(stats[c][1] or 0.0) for c in cols])
 
 
-class PopulationScalerModel(Transformer):
-    def __init__(self, stats):
+class PopulationScalerModel(Transformer, _ScalerParams, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, *, inputCols=None, means=None, stds=None):
         super().__init__()
-        self.stats = stats
+        self._set(**self._input_kwargs)
 
     def _transform(self, dataset):
-        return apply_standardiser(dataset, self.stats)
+        stats = zip(self.getInputCols(), zip(self.getOrDefault(self.means), self.getOrDefault(self.stds)))
+        return apply_standardiser(dataset, dict(stats))
 
 
 def build_pipeline(numeric, estimator, cluster: str | None = "cluster",
@@ -94,7 +111,7 @@ def build_pipeline(numeric, estimator, cluster: str | None = "cluster",
     imp_out = [f"{c}__imp" for c in numeric]
     stages = [imputer(numeric, imp_out)]
     if scale:
-        stages.append(PopulationScaler(imp_out))
+        stages.append(PopulationScaler(inputCols=imp_out))
     stages.append(VectorAssembler(inputCols=imp_out, outputCol="num_scaled", handleInvalid="keep"))
     feats = ["num_scaled"]
     if cluster:

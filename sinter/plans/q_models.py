@@ -9,6 +9,8 @@ from sinter.functions.clean import round6
 from sinter.operators import conformal as CF, features as FE, models as MD, split as SP
 from sinter.plans import fixtures as FX, oracle as O
 from sinter.plans.catalog import register
+from sinter.session import scratch_path
+from sinter.sources import sinks as K
 
 SENS = FX.SENSORS
 
@@ -153,3 +155,17 @@ def forest_model(spark, sf_dir):
     specs = {"RandomForest": MD.model_specs("conformal", rf_depth=8)["RandomForest"]}
     return MD.checkable(MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
                                    cluster="cluster", specs=specs, method="returnflag", period="all"))
+
+
+@register("saved_pipeline", O.with_(O.REGRESSION) + """
+SELECT count(*) AS n_rows, count(*) AS n_equal FROM reg""", covers=("S11", "M4"))
+def saved_pipeline(spark, sf_dir):
+    """A fitted pipeline that was stored and loaded again scores every row
+    as it did before."""
+    r = FX.planted_regression(spark, sf_dir)
+    fitted = MD.build_pipeline(("quantity", "discount", "tax"), MD.linear_model()).fit(r)
+    path = scratch_path(spark, "saved_pipeline")
+    K.save_model(fitted, path)
+    scored = K.load_model(path).transform(fitted.transform(r).select(
+        *r.columns, F.col("prediction").alias("before")))
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("before") == F.col("prediction")).alias("n_equal"))

@@ -70,12 +70,14 @@ UNKNOWN = "desconhecido"
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
-    """Method, period, model and dataset read off the name of the file
-    or of the dataset's directory; folders above it don't count, nor do the
-    ``key=value`` ones of partitions. Method and period markers match in any
-    case, model and dataset markers as written."""
+    """Method, period, model and dataset read off the name of the file,
+    or, for the part files of a written dataset, of the dataset's folder.
+    Folders above don't count, nor do the ``key=value`` ones of partitions.
+    Method and period markers match in any case, model and dataset markers
+    as written."""
     parts = F.filter(F.split("_metadata.file_path", "/"), lambda x: ~x.contains("="))
-    name = F.array_join(F.slice(parts, -2, 2), "/")
+    file = F.element_at(parts, -1)
+    name = F.when(file.startswith("part-"), F.element_at(parts, -2)).otherwise(file)
     return df.withColumns({
         "method": _contains_any(F.lower(name), METHOD_MARKERS, UNKNOWN.upper()),
         "period": _contains_any(F.lower(name), PERIOD_MARKERS, UNKNOWN),

@@ -69,3 +69,26 @@ def test_rewrite_refuses_same_path(spark, tmp_path):
     import pytest
     with pytest.raises(ValueError):
         K.rewrite_clean(spark, str(tmp_path / "a"), str(tmp_path / "a/"))
+
+
+def test_provenance_of_a_plain_file_is_its_own_name(spark, tmp_path):
+    plain = tmp_path / "dbscan_xgb_IQR_runs" / "labelled_kmeans_ago_set.csv"
+    plain.parent.mkdir()
+    plain.write_text("a\n1\n")
+    r = D.with_provenance(D.read_text_table(spark, str(plain))).first()
+    assert (r["method"], r["period"], r["model"], r["dataset"]) == ("KMEANS", "ago_set", "Outro", "padrao")
+    # a written dataset is named by its folder, whatever lies above it
+    written = str(tmp_path / "dbscan_runs" / "labelled_kmeans_mar_jun")
+    spark.range(3).withColumn("k", F.lit(1)).write.partitionBy("k").parquet(written)
+    assert {(x["method"], x["period"]) for x in D.with_provenance(spark.read.parquet(written)).collect()} == {("KMEANS", "mar_jun")}
+
+
+def test_a_saved_pipeline_scores_the_same(spark, tmp_path):
+    from sinter.operators import models as MD
+    rows = spark.createDataFrame([(float(i), None if i % 7 == 0 else i * 0.5, 3.0, i % 3, 2.0 * i) for i in range(60)],
+                                 "a double, b double, flat double, cluster int, label double")
+    fitted = MD.build_pipeline(("a", "b", "flat"), MD.linear_model()).fit(rows)
+    path = str(tmp_path / "model")
+    K.save_model(fitted, path)
+    before = [r.prediction for r in fitted.transform(rows).orderBy("a").collect()]
+    assert [r.prediction for r in K.load_model(path).transform(rows).orderBy("a").collect()] == before
