@@ -14,33 +14,40 @@ each round scores all windows of the training texts and learns from the
 worst window of every text, plus others of texts that aren't toxic. Log-odds
 are cross-fitted: a training text sees those of the other half. Near copies
 among the training texts count once. The sample is bounded (``PER_CLASS``
-texts of each label); scoring covers all windows of all texts.
+texts of each label, ``SAMPLE_BYTES`` of text; a text beyond that is passed
+over) and is read by one task, which trains; the driver sees the finished
+model only. Words are hashed with fixed seeds, so reruns agree. Scoring
+covers all windows of all texts.
 
 Defined results: a null text, an empty one and one without letters have the
 score of a text without any window, the share of toxic texts in training at
 most; with one label or none to learn from, all scores are 0; null and
 repeated labels: a document counts once with its highest label, null labels
-don't count; an empty table gives no rows; other columns are passed on.
+don't count; ids may be of any type; an empty table gives no rows; ``score``
+and ``reject`` pass other columns on, ``classify`` returns its four.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sinter.llm.common import byte_slices, crc_of, map_arrow, text_bytes
 from sinter.llm.tokens import ragged
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, VEC = 6, 4
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 16
 GRAMS = (3, 5, 6)
-PER_CLASS = 2000
+PER_CLASS = 2500
+SAMPLE_BYTES = 64 << 20
 CUT = 0.3
 SHRINK = 1.3
 EPOCHS, BATCH, RATE = 5, 128, 0.02
@@ -141,8 +148,8 @@ def forward(par, proj, keep: bool = False, mask=None):
     """Logits of windows. ``proj`` [2, T, B, 3H]: input projections for the
     forward GRU, and for the backward one in reversed order."""
     _, t, b, _ = proj.shape
-    h = np.zeros((2, b, HIDDEN), np.float32)
-    states = np.empty((2, t, b, HIDDEN), np.float32)
+    h = np.zeros((2, b, HIDDEN), proj.dtype)
+    states = np.empty((2, t, b, HIDDEN), proj.dtype)
     memo = []
     for i in range(t):
         x = proj[:, i]
@@ -256,7 +263,7 @@ def distinct_texts(texts: list[str]) -> list[int]:
     seen, out = set(), []
     for i, t in enumerate(texts):
         w = t.split()
-        h = np.array([hash(tuple(w[j:j + 5])) for j in range(max(1, len(w) - 4))], np.int64).view(np.uint64)
+        h = np.array([xxhash.xxh64_intdigest(" ".join(w[j:j + 5])) for j in range(max(1, len(w) - 4))], np.uint64)
         keys = {(k, int(((h ^ np.uint64(k * 0x5851F42D4C957F2D % (1 << 64))) * _MUL).min())) for k in range(1, 5)}
         if not keys & seen:
             out.append(i)
@@ -380,9 +387,10 @@ def _sums(rows: np.ndarray, values: np.ndarray):
     return rows[by][first], np.add.reduceat(values[by], first, axis=0)
 
 
-def _learn(par, adam, step, word_odds, gram_odds, word, gram, n_gram, g0, index, first, size, y, side, weight):
-    """One Adam step on a batch of windows."""
-    t, b = int(size.max()), len(first)
+def gradients(par, word_odds, gram_odds, word, gram, n_gram, g0, index, first, size, y, side, weight):
+    """Gradients of the mean weighted logistic loss of a batch of windows:
+    of the weights by name, and of the rows of hash tables as (rows, values)."""
+    t, b, kind = int(size.max()), len(first), par["W"].dtype
     pos = np.arange(t)[:, None]
     inside = pos < size[None, :]
     tok = index[first[None, :] + np.minimum(pos, size[None, :] - 1)]
@@ -392,7 +400,7 @@ def _learn(par, adam, step, word_odds, gram_odds, word, gram, n_gram, g0, index,
     u, half = uniq // 2, uniq % 2
     ng = n_gram[u]
     grams = gram[ragged(g0[u], ng)]
-    x = np.empty((len(u), 3 + 2 * VEC), np.float32)
+    x = np.empty((len(u), 3 + 2 * VEC), kind)
     at = np.cumsum(ng) - ng
     wo, go = np.stack(word_odds), np.stack(gram_odds)
     x[:, 0] = wo[half, word[u]]
@@ -405,7 +413,7 @@ def _learn(par, adam, step, word_odds, gram_odds, word, gram, n_gram, g0, index,
     proj = np.stack([(x @ par["W"][k] + par["b"][k])[order[k]] for k in (0, 1)])
     mask = np.stack([inside, inside[::-1]])[..., None]
     logit, (states, memo, both, w, pooled) = forward(par, proj, True, mask)
-    g_logit = ((_sigmoid(logit) - y) * weight / b).astype(np.float32)
+    g_logit = ((_sigmoid(logit) - y) * weight / b).astype(kind)
     grad = {"o": pooled.T @ g_logit, "c": g_logit.sum(keepdims=True)}
     g_pool = g_logit[:, None] * par["o"][None]
     g_w = np.einsum("bd,tbd->tb", g_pool, both)
@@ -415,7 +423,7 @@ def _learn(par, adam, step, word_odds, gram_odds, word, gram, n_gram, g0, index,
     g_states = np.stack([g_both[..., :HIDDEN], g_both[::-1, :, HIDDEN:]])
     g_proj = np.zeros_like(proj)
     grad["U"] = np.zeros_like(par["U"])
-    g_h = np.zeros((2, b, HIDDEN), np.float32)
+    g_h = np.zeros((2, b, HIDDEN), kind)
     ut = par["U"].transpose(0, 2, 1)
     for i in range(t - 1, -1, -1):
         h, z, r, un, n = memo[i]
@@ -436,42 +444,41 @@ def _learn(par, adam, step, word_odds, gram_odds, word, gram, n_gram, g0, index,
         _, per = _sums(order[k].ravel(), g_proj[k].reshape(-1, 3 * HIDDEN))
         grad["W"][k] = x.T @ per
         g_x += per @ par["W"][k].T
+    return grad, {"Ew": _sums(word[u], g_x[:, 3:3 + VEC]),
+                  "Eg": _sums(grams, np.repeat(g_x[:, 3 + VEC:] / ng[:, None], ng, axis=0))}
+
+
+def _learn(par, adam, step, *batch):
+    """One Adam step on a batch of windows."""
+    grad, tables = gradients(par, *batch)
     for k, g in grad.items():
         m1, m2 = adam[k]
         m1 += 0.1 * (g - m1)
         m2 += 0.001 * (g * g - m2)
         par[k] -= RATE * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.999 ** step)) + 1e-8)
     # hash rows: plain steps on the rows of the batch
-    for name, rows, g in (("Ew", word[u], g_x[:, 3:3 + VEC]),
-                          ("Eg", grams, np.repeat(g_x[:, 3 + VEC:] / ng[:, None], ng, axis=0))):
-        rows, g = _sums(rows, g)
+    for name, (rows, g) in tables.items():
         par[name][rows] -= RATE * 5 * g
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS,
-           id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], float]:
-    """Texts and labels of at most ``per_class`` labelled documents of each
-    label, those with the smallest hash of the id; and the share of label 1
-    among all of them. A document of several rows gives one of its texts,
-    not a blank one if it has another."""
-    known = (labels.select(F.col("doc_id").alias(id_col), F.col("toxic").cast("int").alias("__y"))
-             .filter(F.col(id_col).isNotNull() & F.col("__y").isin(0, 1) & learn)
-             .groupBy(id_col).agg(F.max("__y").alias("__y")))
-    n = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
+           id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+    """(t, y) of at most ``per_class`` labelled documents of each label, those
+    with the smallest hash of the id, in one sorted partition; and the share
+    of label 1 among all of them. A document of several rows gives one of its
+    texts, not a blank one if it has another."""
+    known = (labels.select(F.col("doc_id").alias(id_col), F.col("toxic").cast("int").alias("y"))
+             .filter(F.col(id_col).isNotNull() & F.col("y").isin(0, 1) & learn)
+             .groupBy(id_col).agg(F.max("y").alias("y")))
+    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
-    ids = []
-    for c in (0, 1):
-        ids += known.filter(F.col("__y") == c).orderBy(F.xxhash64(id_col), id_col).limit(per_class).collect()
-    if not ids:
-        return [], [], share
-    spark = docs.sparkSession
-    small = spark.createDataFrame([(r[0], r[1]) for r in ids], f"{id_col} long, __y int")
+    place = [F.xxhash64(id_col), F.col(id_col)]
+    first, second = (known.filter(F.col("y") == c).orderBy(*place).limit(per_class) for c in (0, 1))
     # one row an id, so at most 2 * per_class rows
-    one = F.min_by("__t", F.struct(F.trim("__t") == "", F.xxhash64("__t")))
-    rows = (docs.select(F.col(id_col), F.col(text_col).alias("__t")).filter(F.col("__t").isNotNull())
-            .join(F.broadcast(small), id_col).groupBy(id_col, "__y").agg(one.alias("__t"))
-            .orderBy(F.xxhash64(id_col), id_col).collect())
-    return [r["__t"] for r in rows], [r["__y"] for r in rows], share
+    one = F.min_by("t", F.struct(F.trim("t") == "", F.xxhash64("t")))
+    rows = (docs.select(F.col(id_col), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
+            .join(F.broadcast(first.unionByName(second)), id_col).groupBy(id_col, "y").agg(one.alias("t")))
+    return rows.repartition(1).sortWithinPartitions(*place).select("t", "y"), share
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -510,10 +517,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(crc_of(F.col(id_col)), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Train on the labelled documents that aren't held out."""
-    texts, y, share = sample(docs, labels, ~held_out(id_col), id_col=id_col)
-    return train(texts, y, toxic_share=share)
+    rows, share = sample(docs, labels, ~held_out(id_col), id_col=id_col)
+
+    def learn(batches):
+        texts, y, room = [], [], sample_bytes
+        for batch in batches:
+            for t, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                size = t.as_buffer().size
+                if size <= room:
+                    room -= size
+                    texts.append(t.as_py())
+                    y.append(label)
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y, toxic_share=share))])], names=["m"])
+
+    trained = map_arrow(rows, learn, "m binary").collect()
+    return pickle.loads(trained[0]["m"]) if trained else None
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

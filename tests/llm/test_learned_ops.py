@@ -1,7 +1,10 @@
 """Language id, toxicity, neighbours, URL lists and near duplicates against
 brute force or held-out rows, and their edge cases."""
 import math
+import os
 import random
+import subprocess
+import sys
 from datetime import date
 
 import numpy as np
@@ -107,8 +110,7 @@ def tox_data(n, seed):
     return data
 
 
-def test_gradients_are_those_of_the_loss():
-    """Analytic gradients against differences, through one Adam step's input."""
+def test_padding_leaves_the_logit():
     rng = np.random.default_rng(0)
     h, t, b = toxicity.HIDDEN, 5, 3
     par = {"U": rng.normal(0, .3, (2, h, 3 * h)), "a": rng.normal(0, .3, 2 * h), "o": rng.normal(0, .3, 2 * h),
@@ -121,7 +123,79 @@ def test_gradients_are_those_of_the_loss():
     pad[1] = np.concatenate([proj[1, :2], proj[1]], 0)
     inside = np.ones((2, t + 2, b, 1), bool)
     inside[0, t:], inside[1, :2] = False, False
-    assert np.allclose(toxicity.forward(par, pad, False, inside), logit, atol=1e-4)
+    assert np.allclose(toxicity.forward(par, pad, False, inside), logit, atol=1e-12)
+
+
+def test_gradients_are_those_of_the_loss():
+    """Every weight and every hash row in use, against central differences
+    of the loss, in double precision, with windows of unequal length."""
+    rng = np.random.default_rng(1)
+    h, v = toxicity.HIDDEN, toxicity.VEC
+    spelt = pa.array(["zorko", "a", "bcd", "naïve", "longer"], pa.large_string())
+    word, gram, n_gram = toxicity._hashes(spelt)
+    g0 = np.cumsum(n_gram) - n_gram
+    index = np.array([0, 1, 2, 3, 4, 1, 1, 0, 2])
+    first, size = np.array([0, 3, 5, 8]), np.array([4, 3, 4, 1])
+    y, side = np.array([1.0, 0, 1, 0]), np.array([0, 1, 0, 1])
+    weight = np.array([0.7, 1.3, 0.7, 1.3])
+    odds = [rng.normal(0, 1, toxicity.WORD_ROWS) for _ in (0, 1)], [rng.normal(0, 1, toxicity.GRAM_ROWS) for _ in (0, 1)]
+    par = {"Ew": rng.normal(0, .3, (toxicity.WORD_ROWS, v)), "Eg": rng.normal(0, .3, (toxicity.GRAM_ROWS, v)),
+           "W": rng.normal(0, .3, (2, 3 + 2 * v, 3 * h)), "U": rng.normal(0, .3, (2, h, 3 * h)),
+           "b": rng.normal(0, .3, (2, 3 * h)), "a": rng.normal(0, .3, 2 * h), "o": rng.normal(0, .3, 2 * h),
+           "c": rng.normal(0, .3, 1)}
+
+    def loss():
+        total = 0.0
+        for i in range(len(first)):
+            at = index[first[i]:first[i] + size[i]]
+            grams = [gram[g0[w]:g0[w] + n_gram[w]] for w in at]
+            x = np.array([np.concatenate([
+                [odds[0][side[i]][word[w]], odds[1][side[i]][g].max(), odds[1][side[i]][g].mean()],
+                par["Ew"][word[w]], par["Eg"][g].mean(0)]) for w, g in zip(at, grams)])
+            proj = np.stack([(z @ par["W"][k] + par["b"][k])[:, None] for k, z in ((0, x), (1, x[::-1]))])
+            p = 1 / (1 + np.exp(-toxicity.forward(par, proj)[0]))
+            total -= weight[i] * np.log(p if y[i] else 1 - p)
+        return total / len(first)
+
+    grad, rows = toxicity.gradients(par, *odds, word, gram, n_gram, g0, index, first, size, y, side, weight)
+    for name, (at, g) in rows.items():
+        grad[name] = np.zeros_like(par[name])
+        grad[name][at] = g
+    assert set(grad) == set(par)
+    step = 1e-5
+    for name, g in grad.items():
+        used = np.unique(rows[name][0]) if name in rows else None
+        cells = [(int(r), j) for r in used for j in range(v)] if used is not None else list(np.ndindex(g.shape))
+        for c in rng.permutation(len(cells))[:60]:
+            keep = par[name][cells[c]]
+            par[name][cells[c]] = keep + step
+            up = loss()
+            par[name][cells[c]] = keep - step
+            down = loss()
+            par[name][cells[c]] = keep
+            assert abs((up - down) / (2 * step) - g[cells[c]]) < 1e-7, (name, cells[c])
+
+
+def test_training_does_not_depend_on_the_process():
+    code = ("import sys; sys.path.insert(0, sys.argv[1]); sys.path.insert(0, sys.argv[2]); import test_learned_ops as t, zlib;"
+            "d = t.tox_data(120, 2); m = t.toxicity.train([x[1] for x in d], [x[2] for x in d], epochs=2);"
+            "print(zlib.crc32(b''.join(m.par[k].tobytes() for k in sorted(m.par))), m.scale, m.shift)")
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(os.path.dirname(here))
+    said = {subprocess.run([sys.executable, "-c", code, root, here], env={**os.environ, "PYTHONHASHSEED": seed},
+                           capture_output=True, text=True, check=True, timeout=300).stdout for seed in ("1", "2")}
+    assert len(said) == 1
+
+
+def test_sample_is_bounded_in_bytes_and_ids_may_be_text(spark):
+    data = tox_data(300, 9)
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t, _ in data] + [("dx", "zorkola " * 400_000)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", y) for i, _, y in data] + [("dx", 1)], "doc_id string, toxic int")
+    model = toxicity.fit(docs, labels, sample_bytes=1 << 20)
+    assert model is not None
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 301 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.fit(docs, labels, sample_bytes=10) is None
 
 
 def test_windows_cover_every_word():
@@ -162,9 +236,10 @@ def test_a_repeated_document_leaves_room_for_the_others(spark):
                                  + [(i, f"text {i} again {k}") for i in (3, 4, 5, 6) for k in range(500)]
                                  + [(7, " "), (8, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, toxic int")
-    texts, y, share = toxicity.sample(docs.repartition(4), labels, F.lit(True), per_class=20)
+    rows, share = toxicity.sample(docs.repartition(4), labels, F.lit(True), per_class=20)
+    texts, y = zip(*rows.collect())
     assert sorted(int(t.split()[1]) for t in texts) == list(range(40))
-    assert [int(t.split()[1]) % 2 for t in texts] == y and share == 0.5
+    assert [int(t.split()[1]) % 2 for t in texts] == list(y) and share == 0.5
 
 
 def vectors(spark, n, dim, seed, extra=()):
