@@ -17,8 +17,9 @@ candidate if its language holds it ``THRESHOLD`` times or more.
    Survivors set a bit in a map of 2^27 bits.
 2. The texts are read again. N-grams whose bit is set, and whose first words
    were counted too, are counted exactly, as words, first in the task, then
-   by language and phrase. The map only spares work: what the threshold
-   keeps is decided by exact counts.
+   in their hash partition, to which each task sends its phrases in one
+   compressed parcel. The map only spares work: what the threshold keeps is
+   decided by exact counts.
 
 Scores compare a phrase with its two parts at its weakest cut,
 floor(1000 a n / (l r)) in 38-digit arithmetic, and a candidate goes if a
@@ -297,18 +298,21 @@ def _alive(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
 
 
-_KINDS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
+_PLACED = pa.schema([("p", pa.int32()), *_COUNTS])
 
 
-def count_chunk(words: Words, names: list[str], code: np.ndarray, seed: np.ndarray, bitmap: np.ndarray):
-    """Tables (lang, phrase, k, f) of the n-grams of a chunk that the map
-    lets through; k = 0 and no phrase for the number of words."""
+def count_chunk(words: Words, names: list[str], code: np.ndarray, seed: np.ndarray, bitmap: np.ndarray, bits: int):
+    """Tables (p, lang, phrase, k, f) of the n-grams of a chunk that the map
+    lets through, with their hash partition; k = 0 and no phrase for the
+    number of words."""
     lang = code[words.text]
     total = np.bincount(lang, minlength=len(names))
     some = np.flatnonzero(total)
     name = pa.array(names, pa.string())
-    yield pa.table([name.take(pa.array(some)), pa.nulls(len(some), pa.string()),
-                    pa.array(np.zeros(len(some), np.int32)), pa.array(total[some])], schema=_KINDS)
+    none = np.zeros(len(some), np.int32)
+    yield pa.table([pa.array(none), name.take(pa.array(some)), pa.nulls(len(some), pa.string()), pa.array(none),
+                    pa.array(total[some])], schema=_PLACED)
     coded = pc.dictionary_encode(words.strings())
     w = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     spelt = coded.dictionary.cast(pa.string())
@@ -316,7 +320,8 @@ def count_chunk(words: Words, names: list[str], code: np.ndarray, seed: np.ndarr
     before = lang.astype(np.int64)  # of each word: what comes before the next one, as a code
     counted = np.ones(len(w), bool)
     for k, at, h in grams(words, seed[lang]):
-        hit = at[counted[at] & _alive(bitmap, h)]
+        keep = counted[at] & _alive(bitmap, h)
+        hit, h = at[keep], h[keep]
         counted = np.zeros(len(w), bool)
         if not len(hit):
             return
@@ -327,39 +332,79 @@ def count_chunk(words: Words, names: list[str], code: np.ndarray, seed: np.ndarr
         begin = hit[first]
         parts = [spelt.take(pa.array(w[begin + j])) for j in range(k)]
         phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " ")
-        yield pa.table([name.take(pa.array(lang[begin])), phrase.cast(pa.string()),
-                        pa.array(np.full(len(begin), k, np.int32)), pa.array(n)], schema=_KINDS)
+        yield pa.table([pa.array((h[first] >> np.uint64(64 - bits)).astype(np.int32)), name.take(pa.array(lang[begin])),
+                        phrase, pa.array(np.full(len(begin), k, np.int32)), pa.array(n)], schema=_PLACED)
 
 
-def exact_counts(texts: DataFrame, bitmap: np.ndarray, threshold: int = THRESHOLD) -> DataFrame:
+def folded(held: list[pa.Table]) -> pa.Table:
+    """One row per key of the tables, with the sum of f."""
+    keys = held[0].column_names[:-1]
+    t = pa.concat_tables(held)
+    return t.group_by(keys).aggregate([("f", "sum")]).rename_columns([*keys, "f"]).select(t.column_names)
+
+
+def _parcels(held: list[pa.Table]) -> pa.RecordBatch:
+    """(p, counts): the summed tables, one Arrow stream per hash partition."""
+    t = folded(held).sort_by("p")
+    p = t["p"].to_numpy()
+    cut = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    rows, out = t.select(_COUNTS.names), []
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(p)).tolist()):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _COUNTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(rows.slice(a, b - a).combine_chunks())
+        out.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(p[cut], pa.int32()), pa.array(out, pa.binary())], names=["p", "counts"])
+
+
+def exact_counts(texts: DataFrame, bitmap: np.ndarray, bits: int, threshold: int = THRESHOLD) -> DataFrame:
     """(lang, phrase, k, f) of all n-grams that occur ``threshold`` times or
     more in their language, and (lang, null, 0, number of words)."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
-    def folded(held):
-        return pa.concat_tables(held).group_by(["lang", "phrase", "k"]).aggregate([("f", "sum")]).rename_columns(
-            ["lang", "phrase", "k", "f"]).select(_KINDS.names)
-
     def count(batches):
         held, rows = [], 0
         for batch in batches:
             names, code = languages(batch, 0)
             seed = _seeds(names)
             for words in chunks(batch.column(1)):
-                for t in count_chunk(words, names, code, seed, shared.value):
+                for t in count_chunk(words, names, code, seed, shared.value, bits):
                     held.append(t)
                     rows += t.num_rows
                 if rows > 2 * HELD_ROWS:
                     held = [folded(held)]
                     if held[0].num_rows > HELD_ROWS:
-                        yield from held.pop().to_batches()
+                        yield _parcels(held)
+                        held = []
                     rows = sum(t.num_rows for t in held)
         if held:
-            yield from folded(held).to_batches()
+            yield _parcels(held)
+
+    def add(batches):
+        at, held, rows = None, [], 0
+
+        def done():
+            t = folded(held)
+            yield from t.filter((pc.field("k") == 0) | (pc.field("f") >= threshold)).combine_chunks().to_batches()
+
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if p != at and held:
+                    yield from done()
+                    held, rows = [], 0
+                at = p
+                held.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                rows += held[-1].num_rows
+                if rows > 2 * HELD_ROWS:
+                    held = [folded(held)]
+                    # what is left grows with the partition's phrases, not with the tasks
+                    rows = 0
+        if held:
+            yield from done()
 
-    rows = map_arrow(texts, count, "lang string, phrase string, k int, f long")
-    return rows.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).filter(
-        (F.col("k") == 0) | (F.col("f") >= threshold))
+    parcels = map_arrow(texts, count, "p int, counts binary")
+    return map_arrow(parcels.repartition(1 << bits, "p").sortWithinPartitions("p"), add,
+                     "lang string, phrase string, k int, f long")
 
 
 # ------------------------------------------------------------ scores
@@ -424,7 +469,7 @@ def collocations(docs: DataFrame, threshold: int = THRESHOLD, limit: int = LIMIT
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_BITS, math.ceil(math.log2(max(1, size / PART_BYTES))))
     bitmap = survivor_map(texts, bits, threshold)
-    counts = store(exact_counts(texts, bitmap, threshold), "phrases-counts")
+    counts = store(exact_counts(texts, bitmap, bits, threshold), "phrases-counts")
     found = store(scored(counts), "phrases-scored")
     return leading(found, limit).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n",
                                         F.col("score").cast("long").alias("score"))
