@@ -286,7 +286,8 @@ def survivor_map(texts: DataFrame, bits: int, threshold: int = THRESHOLD, spare:
     rows = summaries(texts, bits).repartition(1 << bits, "p").sortWithinPartitions("p", "kind")
     out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
     size = width // 8
-    for r in map_arrow(rows, merge, "p int, bits binary").toLocalIterator():
+    # 2^MAP_BITS bits in all, whatever the input
+    for r in map_arrow(rows, merge, "p int, bits binary").collect():
         raw = pa.decompress(r["bits"], size, codec="zstd", asbytes=True)
         out[r["p"] * size:(r["p"] + 1) * size] = np.frombuffer(raw, np.uint8)
     return out
