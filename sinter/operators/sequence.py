@@ -1,145 +1,210 @@
 """Operators over a global order without a single-partition window.
 
 ``Window.orderBy(ts)`` with no partition key moves every row into one task.
-Here the table is range-partitioned on the full order (ts plus a unique
-tie-break), so partitions are balanced even when one timestamp or one
-series holds a large share of the rows. ``monotonically_increasing_id``
-after ``sortWithinPartitions`` then encodes (partition index, position).
-Cross-partition information travels through per-partition summary tables
-with at most one row per (partition, series) at a partition edge, so
-every broadcast below is bounded by the partition count, not the data.
-
-The range bounds come from a sample seeded by the RDD id, so two
-evaluations of the same plan may cut the partitions differently. The
-layout is therefore written once with a reliable ``checkpoint()`` (under
-``spark.checkpoint.dir``): every later branch reads the same partition
-ids, and a lost executor recomputes from that copy, not from a new sample.
+Here the rows are dealt to ranges of the full order (``[key] + order``,
+ending in a unique tie-break), so ranges are balanced even when one timestamp
+or one series holds a large share of the rows. The bounds of the ranges are
+literals, picked once from a hash sample of the order values: which range a
+row falls in depends on its own values alone. Recomputing a lost partition
+cuts the same way, so no copy of the rows is stored, and all windows run
+inside one exchange on the range id.
+
+What a range needs from the ranges before or after it travels through tables
+with one row per range (lags: as many as the longest lag), aggregated where
+the rows lie. A series continues over a bound only if it is the bound's own
+series, so no other series enters them.
+
+The input is read several times (count, sample, edges, rows), with the
+columns each needs; an input that is costly or not deterministic should be
+checkpointed first. Rows with equal order values may come out in any order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
 
-from sinter.session import checkpoint_root
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-ID_BITS = 33
-POS_MASK = (1 << ID_BITS) - 1
-_KEY = "_sq_key"
+# rows a range should hold, from few rows to many; ranges a layout may have
+FEW_ROWS, MANY_ROWS, MAX_RANGES = 1 << 16, 1 << 20, 1 << 14
+HASH_SPACE = 1 << 30
+_KEY, _PID = "_sq_key", "_pid"
 
 
-def layout(df: DataFrame, order, key=None, partitions: int | None = None) -> DataFrame:
-    """Range-partition and sort by ``[key] + order``; add ``_mid, _pid, _pos``.
+def _micros_long(ts: Column) -> Column:
+    """Microseconds since the epoch of a zone-free timestamp (no session-zone
+    conversion, so no daylight-saving shifts)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
+
+
+def _encoded(df: DataFrame, names) -> list[tuple[Column, T.DataType]]:
+    """Order columns in a form whose values survive the way to the driver
+    and back as literals: times become numbers, the order stays."""
+    out = []
+    for name in names:
+        c, t = F.col(name), df.schema[name].dataType
+        if isinstance(t, T.TimestampNTZType):
+            c, t = _micros_long(c), T.LongType()
+        elif isinstance(t, T.TimestampType):
+            c, t = F.unix_micros(c), T.LongType()
+        elif isinstance(t, T.DateType):
+            c, t = F.unix_date(c), T.IntegerType()
+        elif not isinstance(t, (T.NumericType, T.StringType, T.BooleanType, T.BinaryType)):
+            raise TypeError(f"can't order by {name!r} of type {t.simpleString()}")
+        out.append((c, t))
+    return out
+
+
+@dataclass(frozen=True)
+class Order:
+    """The composite order value of a row, comparable with literals of it."""
+
+    value: Column
+    types: tuple
+
+    @staticmethod
+    def of(df: DataFrame, names) -> "Order":
+        enc = _encoded(df, names)
+        return Order(F.struct(*[c.alias(f"o{i}") for i, (c, _) in enumerate(enc)]), tuple(t for _, t in enc))
+
+    def literal(self, row) -> Column:
+        return F.struct(*[F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(t).alias(f"o{i}")
+                          for i, (v, t) in enumerate(zip(row, self.types))])
+
+    def position(self, bounds) -> Column:
+        """How many of the sorted ``bounds`` are at or below the row's value,
+        by two short looks: at the first bound of each block, then inside one."""
+        if not bounds:
+            return F.lit(0)
+        step = max(1, int(len(bounds) ** 0.5))
+        blocks = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+
+        def reached(table):
+            return F.size(F.filter(table, lambda b: b <= self.value))
+
+        block = reached(F.array(*[self.literal(b[0]) for b in blocks]))
+        inside = F.array(*[F.array(*[self.literal(r) for r in b]) for b in blocks])
+        return F.when(block == 0, 0).otherwise((block - 1) * step + reached(F.element_at(inside, F.greatest(block, F.lit(1)))))
+
+
+def sample_values(df: DataFrame, order: Order, n: int, wanted: int) -> list[tuple[tuple, int]]:
+    """Distinct order values with their number of rows, in order, of about
+    ``wanted`` rows taken by hash of the value: the same ones on every run,
+    and a value that many rows share is one value."""
+    share = min(HASH_SPACE, max(1, wanted * HASH_SPACE // max(n, 1)))
+    rows = (df.select(order.value.alias("v")).filter(F.pmod(F.xxhash64("v"), F.lit(HASH_SPACE)) < share)
+            .groupBy("v").count().orderBy("v").collect())
+    return [(tuple(r["v"]), r["count"]) for r in rows]
 
-    ``order`` must end with a unique tie-break for a deterministic result.
-    """
-    order = list(order)
-    full = ([key] if key else []) + order
-    x = df.withColumn(_KEY, F.col(key) if key else F.lit(0))
-    # without a fixed count AQE may merge adjacent ranges (order is kept),
-    # so a small series does not run hundreds of empty tasks
-    x = (x.repartitionByRange(*full) if partitions is None
-         else x.repartitionByRange(int(partitions), *full))
-    x = (x.sortWithinPartitions(*full)
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    x = x.withColumns({"_pid": F.shiftright("_mid", ID_BITS),
-                       "_pos": F.col("_mid").bitwiseAND(F.lit(POS_MASK))})
-    checkpoint_root(df.sparkSession)
-    return x.checkpoint(eager=True)
+
+def range_bounds(df: DataFrame, order: Order, partitions: int | None = None) -> list[tuple]:
+    """Lower bounds of all ranges but the first."""
+    n = df.count()
+    if partitions is None:
+        spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = min(MAX_RANGES, max(-(-n // MANY_ROWS), min(spread, -(-n // FEW_ROWS))))
+    if partitions <= 1 or n == 0:
+        return []
+    each = min(256, max(16, (1 << 16) // partitions))
+    values = sample_values(df, order, n, partitions * each)
+    total, run, bounds = sum(c for _, c in values), 0, []
+    for v, c in values:
+        if run * partitions >= total * (len(bounds) + 1):
+            bounds.append(v)
+        run += c
+    return bounds
+
+
+class Ranges:
+    """``df`` dealt to ranges: ``where`` has the range id and the series key
+    beside each row as it lies, ``rows`` after the one exchange."""
+
+    def __init__(self, df: DataFrame, order, key=None, partitions: int | None = None):
+        self.order = list(order)
+        full = ([key] if key else []) + self.order
+        o = Order.of(df, full)
+        bounds = range_bounds(df, o, partitions)
+        self.n = len(bounds) + 1
+        self.value = o.value
+        self.where = df.withColumns({_KEY: F.col(key) if key else F.lit(0), _PID: o.position(bounds).cast("int")})
+        self.rows = self.where.repartitionById(self.n, F.col(_PID)) if bounds else self.where.coalesce(1)
+        if bounds and key:
+            enc, t = _encoded(df, [key])[0]
+            at = F.array(*[F.lit(bytes(b[0]) if isinstance(b[0], bytearray) else b[0]).cast(t) for b in bounds])
+            self.goes_on = (F.col(_PID) < self.n - 1) & F.get(at, F.col(_PID)).eqNullSafe(enc)
+            self.came = (F.col(_PID) > 0) & F.get(at, F.col(_PID) - 1).eqNullSafe(enc)
+        else:
+            self.goes_on, self.came = F.col(_PID) < self.n - 1, F.col(_PID) > 0
+
+    def window(self, backward: bool = False):
+        by = [F.col(c).desc() if backward else F.col(c) for c in self.order]
+        return Window.partitionBy(_PID, _KEY).orderBy(*by)
+
+    def join(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
+        """Left join of ``edges`` (range, series, values; a row a range)."""
+        e = edges.withColumnsRenamed({_PID: "_e_pid", _KEY: "_e_key"})
+        return rows.join(F.broadcast(e), (F.col(_PID) == F.col("_e_pid")) & F.col(_KEY).eqNullSafe(F.col("_e_key")),
+                         "left").drop("_e_pid", "_e_key")
+
+    def lengths(self) -> DataFrame:
+        """Per range whose last series goes on: its rows there (``here``) and
+        up to the range's end (``upto``)."""
+        per = self.where.filter(self.goes_on).groupBy(_PID, _KEY).agg(F.count(F.lit(1)).alias("here"))
+        run = Window.partitionBy(_KEY).orderBy(_PID).rowsBetween(Window.unboundedPreceding, 0)
+        return per.withColumn("upto", F.sum("here").over(run))
+
+    def numbered(self, name: str) -> DataFrame:
+        before = self.lengths().select((F.col(_PID) + 1).alias(_PID), _KEY, F.col("upto").alias("_off"))
+        rows = self.rows.withColumn(name, F.row_number().over(self.window()).cast("long"))
+        if self.n == 1:
+            return rows
+        return self.join(rows, before).withColumn(name, F.col(name) + F.coalesce("_off", F.lit(0))).drop("_off")
 
 
 def _drop_internal(df: DataFrame) -> DataFrame:
-    return df.drop(_KEY, "_mid", "_pid", "_pos")
-
-
-def _number(x: DataFrame, name: str, keyed: bool) -> DataFrame:
-    """Add a 1-based ``name`` to a ``layout`` frame, keeping the internals."""
-    if not keyed:
-        counts = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-        out = x.join(F.broadcast(offsets), "_pid").withColumn(
-            name, F.col("_off") + F.col("_pos") + 1)
-        return out.drop("_off")
-    # keyed: rows of the key in earlier partitions + rank inside this one.
-    # One row per (partition, key); AQE broadcasts it when it is small.
-    per = x.groupBy("_pid", _KEY).agg(F.count(F.lit(1)).alias("_n"),
-                                      F.min("_pos").alias("_first"))
-    w = Window.partitionBy(_KEY).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("_pid", _KEY, "_first",
-                     F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = x.join(per, ["_pid", _KEY]).withColumn(
-        name, F.col("_off") + F.col("_pos") - F.col("_first") + 1)
-    return out.drop("_off", "_first")
+    return df.drop(_KEY, _PID)
 
 
 def row_number(df: DataFrame, order, name: str = "row_number",
                partitions: int | None = None, key=None) -> DataFrame:
     """Global 1-based row number by ``order`` (restarting per ``key``)."""
-    x = layout(df, order, key, partitions)
-    return _drop_internal(_number(x, name, key is not None))
-
-
-def _edge_carry(x: DataFrame, cols, forward: bool) -> DataFrame:
-    """Per (partition, key) at a partition edge: the last (forward) or first
-    (backward) non-null value of each column found in the neighbouring
-    partitions of the same key. At most one row per partition."""
-    pick = F.max_by if forward else F.min_by
-    summ = x.groupBy("_pid", _KEY).agg(
-        F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"),
-        *[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(c) for c in cols])
-    if forward:
-        w = Window.partitionBy(_KEY).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        carried = [F.last(c, ignorenulls=True).over(w).alias(f"_carry_{c}") for c in cols]
-        edge = Window.partitionBy("_pid").orderBy("_lo")
-    else:
-        # running frame over the reversed order (an UNBOUNDED FOLLOWING frame
-        # is re-aggregated for every row)
-        w = (Window.partitionBy(_KEY).orderBy(F.col("_pid").desc())
-             .rowsBetween(Window.unboundedPreceding, -1))
-        carried = [F.last(c, ignorenulls=True).over(w).alias(f"_carry_{c}") for c in cols]
-        edge = Window.partitionBy("_pid").orderBy(F.col("_hi").desc())
-    carry = summ.select("_pid", _KEY, "_lo", "_hi", *carried)
-    # only the first (forward) / last (backward) key of a partition can
-    # continue a series from another partition
-    carry = (carry.withColumn("_edge", F.row_number().over(edge))
-             .filter(F.col("_edge") == 1).drop("_edge", "_lo", "_hi"))
-    return carry
+    return _drop_internal(Ranges(df, order, key, partitions).numbered(name))
+
+
+def _carried(r: Ranges, cols, forward: bool) -> DataFrame:
+    """Per range and series that reaches it from the range before (forward)
+    or after it: the nearest non-null value of each column there."""
+    pick, side, step = (F.max_by, r.goes_on, 1) if forward else (F.min_by, r.came, -1)
+    near = r.where.filter(side).groupBy(_PID, _KEY).agg(
+        *[pick(F.col(c), F.when(F.col(c).isNotNull(), r.value)).alias(c) for c in cols])
+    run = (Window.partitionBy(_KEY).orderBy(F.col(_PID) if forward else F.col(_PID).desc())
+           .rowsBetween(Window.unboundedPreceding, 0))
+    return near.select((F.col(_PID) + step).alias(_PID), _KEY,
+                       *[F.last(c, ignorenulls=True).over(run).alias(c) for c in cols])
 
 
 def fill(df: DataFrame, order, forward=(), backward=(), key=None,
          partitions: int | None = None) -> DataFrame:
-    """Forward-fill ``forward`` and backward-fill ``backward`` columns over one
-    shared layout. A column in both lists gets ffill then bfill (leading gap
+    """Forward-fill ``forward`` and backward-fill ``backward`` columns inside
+    one exchange. A column in both lists gets ffill then bfill (leading gap
     takes the first value)."""
-    forward, backward = list(forward), list(backward)
-    x = layout(df, order, key, partitions)
-    y = x
-    if forward:
-        w = (Window.partitionBy("_pid", _KEY).orderBy("_pos")
-             .rowsBetween(Window.unboundedPreceding, 0))
-        y = y.withColumns({f"_f_{c}": F.last(c, ignorenulls=True).over(w) for c in forward})
-        carry = _edge_carry(x, forward, True).select(
-            "_pid", _KEY, *[F.col(f"_carry_{c}").alias(f"_fc_{c}") for c in forward])
-        y = y.join(F.broadcast(carry), ["_pid", _KEY], "left")
-    if backward:
-        w = (Window.partitionBy("_pid", _KEY).orderBy(F.col("_pos").desc())
-             .rowsBetween(Window.unboundedPreceding, 0))
-        y = y.withColumns({f"_b_{c}": F.last(c, ignorenulls=True).over(w) for c in backward})
-        carry = _edge_carry(x, backward, False).select(
-            "_pid", _KEY, *[F.col(f"_carry_{c}").alias(f"_bc_{c}") for c in backward])
-        y = y.join(F.broadcast(carry), ["_pid", _KEY], "left")
-    out = {}
-    for c in set(forward) | set(backward):
-        parts = []
-        if c in forward:
-            parts += [F.col(f"_f_{c}"), F.col(f"_fc_{c}")]
-        if c in backward:
-            parts += [F.col(f"_b_{c}"), F.col(f"_bc_{c}")]
-        out[c] = F.coalesce(*parts)
-    y = y.withColumns(out)
-    tmp = [f"_{p}_{c}" for c in forward for p in ("f", "fc")] + \
-          [f"_{p}_{c}" for c in backward for p in ("b", "bc")]
-    return _drop_internal(y.drop(*tmp))
+    r = Ranges(df, order, key, partitions)
+    y, parts = r.rows, {}
+    for cols, fwd in ((list(forward), True), (list(backward), False)):
+        if not cols:
+            continue
+        tag = "f" if fwd else "b"
+        # a running frame over the reversed order for the backward side (an
+        # UNBOUNDED FOLLOWING frame is re-aggregated for every row)
+        w = r.window(backward=not fwd).rowsBetween(Window.unboundedPreceding, 0)
+        y = y.withColumns({f"_{tag}_{c}": F.last(c, ignorenulls=True).over(w) for c in cols})
+        if r.n > 1:
+            y = r.join(y, _carried(r, cols, fwd).withColumnsRenamed({c: f"_{tag}c_{c}" for c in cols}))
+        for c in cols:
+            parts.setdefault(c, []).extend([f"_{tag}_{c}"] + ([f"_{tag}c_{c}"] if r.n > 1 else []))
+    y = y.withColumns({c: F.coalesce(*[F.col(p) for p in ps]) for c, ps in parts.items()})
+    return _drop_internal(y.drop(*[p for ps in parts.values() for p in ps]))
 
 
 def ffill(df: DataFrame, order, cols, key=None, partitions: int | None = None) -> DataFrame:
@@ -152,13 +217,6 @@ def bfill(df: DataFrame, order, cols, key=None, partitions: int | None = None) -
     return fill(df, order, backward=cols, key=key, partitions=partitions)
 
 
-def _micros(ts: Column) -> Column:
-    """Microseconds since the epoch of a zone-free timestamp (no session-zone
-    conversion, so no daylight-saving shifts)."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz")).cast("double")
-
-
 def interpolate_time(df: DataFrame, ts: str, order, cols, key=None,
                      partitions: int | None = None, on_bad_ts: str = "drop") -> DataFrame:
     """Time-weighted linear interpolation, forward direction.
@@ -185,7 +243,7 @@ def interpolate_time(df: DataFrame, ts: str, order, cols, key=None,
     out = {}
     for c in cols:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        t, t0, t1 = _micros(F.col(ts)), _micros(p["t"]), _micros(n["t"])
+        t, t0, t1 = (_micros_long(x).cast("double") for x in (F.col(ts), p["t"], n["t"]))
         interp = p["v"] + (n["v"] - p["v"]) * F.try_divide(t - t0, t1 - t0)
         out[c] = (F.when(F.col(c).isNotNull(), F.col(c))
                   .when(p.isNull(), F.lit(None))
@@ -200,30 +258,33 @@ def lag(df: DataFrame, order, cols, steps=(1,), key=None, partitions: int | None
     """Value ``k`` rows earlier along ``order`` (per key), or the
     difference to it.
 
-    Inside a partition a plain ``lag`` window does it. The first ``k`` rows
-    of a series in a partition find their source among the last ``k`` rows
-    of an earlier partition (the rows in between all belong to the same
-    series), so a table of the last ``max(steps)`` rows of every partition
-    (partitions x max(steps) rows, broadcast) answers them.
+    Inside a range a plain ``lag`` window does it. The first ``k`` rows of a
+    series in a range find their source among the last ``k`` rows that the
+    series has in an earlier range, which a table of the last ``max(steps)``
+    rows of every range (ranked and cut before they are exchanged, then
+    broadcast) answers by their number in the series.
     """
     cols, steps = list(cols), list(steps)
-    kmax = max(steps)
-    x = _number(layout(df, order, key, partitions), "_seq", key is not None)
-    last = x.groupBy("_pid").agg(F.max("_pos").alias("_last"))
-    tail = (x.join(F.broadcast(last), "_pid")
-            .filter(F.col("_pos") > F.col("_last") - kmax)
-            .select(F.col(_KEY).alias("_t_key"), F.col("_seq").alias("_src_seq"),
-                    *[F.col(c).alias(f"_t_{c}") for c in cols]))
-    w = Window.partitionBy("_pid", _KEY).orderBy("_pos")
-    out = x.withColumn("_rk", F.row_number().over(w))
+    r = Ranges(df, order, key, partitions)
+    w = r.window()
+    out = r.numbered("_seq").withColumn("_rk", F.row_number().over(w))
+    tail = None
+    if r.n > 1:
+        last = r.where.filter(r.goes_on).withColumn("_back", F.row_number().over(r.window(backward=True)))
+        ends = r.lengths().select(_PID, _KEY, "upto")
+        tail = (r.join(last.filter(F.col("_back") <= max(steps)), ends)
+                .select(F.col(_KEY).alias("_t_key"), (F.col("upto") - F.col("_back") + 1).alias("_src_seq"),
+                        *[F.col(c).alias(f"_t_{c}") for c in cols]))
     for k in steps:
-        t = tail.select("_t_key", (F.col("_src_seq") + k).alias("_want"),
-                        *[F.col(f"_t_{c}").alias(f"_t{k}_{c}") for c in cols])
-        out = (out.join(F.broadcast(t), (out[_KEY] == t["_t_key"]) & (out["_seq"] == t["_want"]),
-                        "left").drop("_t_key", "_want"))
+        if tail is not None:
+            t = tail.select("_t_key", (F.col("_src_seq") + k).alias("_want"),
+                            *[F.col(f"_t_{c}").alias(f"_t{k}_{c}") for c in cols])
+            out = out.join(F.broadcast(t), F.col(_KEY).eqNullSafe(F.col("_t_key")) & (F.col("_seq") == F.col("_want")),
+                           "left").drop("_t_key", "_want")
         for c in cols:
-            v = F.when(F.col("_rk") <= k, F.col(f"_t{k}_{c}")).otherwise(F.lag(c, k).over(w))
-            name = f"{c}_diff{k}" if diff else f"{c}_lag{k}"
-            out = out.withColumn(name, F.col(c) - v if diff else v)
+            v = F.lag(c, k).over(w)
+            if tail is not None:
+                v = F.when(F.col("_rk") <= k, F.col(f"_t{k}_{c}")).otherwise(v)
+            out = out.withColumn(f"{c}_diff{k}" if diff else f"{c}_lag{k}", F.col(c) - v if diff else v)
         out = out.drop(*[f"_t{k}_{c}" for c in cols])
     return _drop_internal(out).drop("_seq", "_rk")
