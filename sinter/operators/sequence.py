@@ -56,6 +56,18 @@ def _encoded(df: DataFrame, names) -> list[tuple[Column, T.DataType]]:
     return out
 
 
+def typed(value, t: T.DataType) -> str:
+    """SQL text of a constant of type ``t``; bytes go as hex, so no text
+    needs escaping."""
+    if value is None:
+        text = "NULL"
+    elif isinstance(value, (str, bytes, bytearray)):
+        text = f"X'{(value.encode() if isinstance(value, str) else bytes(value)).hex()}'"
+    else:
+        text = f"'{value!r}'" if isinstance(value, float) else f"'{value}'"
+    return f"CAST({text} AS {t.simpleString()})"
+
+
 @dataclass(frozen=True)
 class Order:
     """The composite order value of a row, comparable with literals of it."""
@@ -69,8 +81,15 @@ class Order:
         return Order(F.struct(*[c.alias(f"o{i}") for i, (c, _) in enumerate(enc)]), tuple(t for _, t in enc))
 
     def literal(self, row) -> Column:
-        return F.struct(*[F.lit(bytes(v) if isinstance(v, bytearray) else v).cast(t).alias(f"o{i}")
-                          for i, (v, t) in enumerate(zip(row, self.types))])
+        return F.expr(self._text(row))
+
+    def literals(self, rows) -> Column:
+        """An array of order values, as one piece of text: built column by
+        column, a thousand of them take seconds of the driver."""
+        return F.expr(f"array({', '.join(self._text(r) for r in rows)})")
+
+    def _text(self, row) -> str:
+        return "named_struct(" + ", ".join(f"'o{i}', {typed(v, t)}" for i, (v, t) in enumerate(zip(row, self.types))) + ")"
 
     def position(self, bounds) -> Column:
         """How many of the sorted ``bounds`` are at or below the row's value,
@@ -83,8 +102,8 @@ class Order:
         def reached(table):
             return F.size(F.filter(table, lambda b: b <= self.value))
 
-        block = reached(F.array(*[self.literal(b[0]) for b in blocks]))
-        inside = F.array(*[F.array(*[self.literal(r) for r in b]) for b in blocks])
+        block = reached(self.literals([b[0] for b in blocks]))
+        inside = F.expr("array(" + ", ".join(f"array({', '.join(self._text(r) for r in b)})" for b in blocks) + ")")
         return F.when(block == 0, 0).otherwise((block - 1) * step + reached(F.element_at(inside, F.greatest(block, F.lit(1)))))
 
 
@@ -131,7 +150,7 @@ class Ranges:
         self.rows = self.where.repartitionById(self.n, F.col(_PID)) if bounds else self.where.coalesce(1)
         if bounds and key:
             enc, t = _encoded(df, [key])[0]
-            at = F.array(*[F.lit(bytes(b[0]) if isinstance(b[0], bytearray) else b[0]).cast(t) for b in bounds])
+            at = F.expr(f"array({', '.join(typed(b[0], t) for b in bounds)})")
             self.goes_on = (F.col(_PID) < self.n - 1) & F.get(at, F.col(_PID)).eqNullSafe(enc)
             self.came = (F.col(_PID) > 0) & F.get(at, F.col(_PID) - 1).eqNullSafe(enc)
         else:

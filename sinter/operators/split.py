@@ -2,18 +2,23 @@
 
 All splits label rows (a ``split`` column) instead of producing separate
 frames, so one cached or checkpointed table flows through fit, calibrate
-and evaluate. Row numbers of the chronological split come from
-``sequence.row_number`` (range partitioned, no single-partition window);
-the seeded split finds its cut by histograms and sorts nothing.
+and evaluate. The chronological and the seeded split only need the order
+value at which a label ends; ``rank_cuts`` finds it by exact counts between
+pivots, and rows are labelled where they lie: nothing is sorted, numbered or
+exchanged. Row numbers are added only on request.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sinter.operators.sequence import row_number
+from sinter.operators.sequence import Order, row_number, sample_values
+
+PIVOTS = 1 << 10
+SAMPLE, FEW = 1 << 15, 1 << 15
 
 
 def n_test_of(n: int, test_frac: float) -> int:
@@ -21,21 +26,108 @@ def n_test_of(n: int, test_frac: float) -> int:
     return int(math.ceil(test_frac * n))
 
 
+@dataclass(frozen=True)
+class Cut:
+    """The order value of the row at a rank: ``below`` rows have a smaller
+    one, ``same`` rows this one."""
+
+    value: tuple
+    below: int
+    same: int
+
+
+def _among(counted, rank: int, below: int) -> Cut:
+    for value, n in counted:
+        if below + n >= rank:
+            return Cut(value, below, n)
+        below += n
+    raise ValueError("rank beyond the last row; is the input deterministic?")
+
+
+def _pivots(df: DataFrame, order: Order, n: int) -> list[tuple]:
+    """Sorted values of rows, the smallest among them: every look at an
+    interval takes its pivots out of it, whatever the sample holds."""
+    values = [v for v, _ in sample_values(df, order, n, SAMPLE)]
+    picked = values[::max(1, len(values) // PIVOTS)]
+    least = tuple(df.agg(F.min(order.value).alias("v")).first()["v"])
+    return picked if picked and picked[0] == least else [least] + picked
+
+
+def rank_cut(df: DataFrame, order: Order, rank: int, n: int) -> Cut:
+    """The cut at 1-based ``rank`` of ``n`` rows. Rows are counted at and
+    between pivots (one small count a pivot and task is exchanged), then only
+    the interval with the rank is looked at, until it has few rows."""
+    below, inside = 0, df
+    while n > FEW:
+        pivots = _pivots(inside, order, n)
+        at = order.position(pivots)
+        table = order.literals(pivots)
+        # odd places are pivots, even ones the open intervals around them
+        place = F.when(at == 0, 0).otherwise(2 * at - F.when(F.get(table, at - 1) == order.value, 1).otherwise(0))
+        counts = {r["place"]: r["count"] for r in inside.groupBy(place.alias("place")).count().collect()}
+        for i in sorted(counts):
+            if below + counts[i] >= rank:
+                break
+            below += counts[i]
+        if i % 2:
+            return Cut(pivots[i // 2], below, counts[i])
+        if i:
+            inside = inside.filter(order.value > order.literal(pivots[i // 2 - 1]))
+        if i // 2 < len(pivots):
+            inside = inside.filter(order.value < order.literal(pivots[i // 2]))
+        n = counts[i]
+    rows = inside.select(order.value.alias("v")).groupBy("v").count().orderBy("v").collect()
+    return _among([(tuple(r["v"]), r["count"]) for r in rows], rank, below)
+
+
+def label_ranks(df: DataFrame, order, ends, name: str, n: int) -> DataFrame:
+    """Label rows by rank: ``ends`` are (label, last rank), in order. Rows
+    that share the order value at an end are told apart by their other
+    columns; only those rows are numbered."""
+    o = Order.of(df, order)
+    cuts = []
+    for label, last in ends:
+        if 0 < last and (not cuts or last > cuts[-1][1]):
+            cuts.append((label, last, rank_cut(df, o, last, n) if last < n else None))
+
+    def labels(reached) -> Column:
+        out = None
+        for label, last, cut in cuts:
+            if cut is None:
+                return F.lit(label) if out is None else out.otherwise(F.lit(label))
+            out = (F if out is None else out).when(reached(last, cut), F.lit(label))
+        return F.lit(None).cast("string") if out is None else out
+
+    out = df.withColumn(name, labels(lambda last, cut: o.value <= o.literal(cut.value)))
+    split = {c.value: c for _, last, c in cuts if c is not None and c.below + c.same > last}
+    if not split:
+        return out
+    at = o.literals(list(split))
+    start = F.create_map(*[x for v, c in split.items() for x in (F.lit(list(split).index(v)), F.lit(c.below))])
+    which = F.array_position(at, o.value) - 1
+    tied = df.filter(F.array_contains(at, o.value)).withColumns(
+        {"_which": which.cast("int"), "_other": F.xxhash64(*[F.col(c) for c in df.columns])})
+    tied = row_number(tied, ["_other"], "_rank", key="_which").withColumn("_rank", F.col("_rank") + start[F.col("_which")])
+    tied = tied.withColumn(name, labels(lambda last, cut: F.col("_rank") <= last)).drop("_which", "_other", "_rank")
+    return out.filter(~F.array_contains(at, o.value)).unionByName(tied)
+
+
 def chrono_split(df: DataFrame, order, test_frac: float = 0.2, cal_frac: float | None = None,
-                 name: str = "split", rn: str = "row_number", n: int | None = None) -> DataFrame:
+                 name: str = "split", rn: str | None = None, n: int | None = None) -> DataFrame:
     """The last ceil(f*n) rows by ``order`` are ``test``; with
     ``cal_frac`` the last ceil(cal_frac * n_train) training rows are
-    ``cal``; the rest ``train``."""
+    ``cal``; the rest ``train``. ``rn`` names a column of row numbers to add,
+    which costs an exchange and a sort."""
     n = df.count() if n is None else n
-    n_test = n_test_of(n, test_frac)
-    n_train = n - n_test
+    n_train = n - n_test_of(n, test_frac)
     n_cal = n_test_of(n_train, cal_frac) if cal_frac else 0
-    x = row_number(df, order, rn)
+    ends = [("train", n_train - n_cal), ("cal", n_train), ("test", n)]
+    if rn is None:
+        return label_ranks(df, order, ends, name, n)
     r = F.col(rn)
-    label = (F.when(r > F.lit(n_train), F.lit("test"))
-             .when(r > F.lit(n_train - n_cal), F.lit("cal"))
-             .otherwise(F.lit("train")))
-    return x.withColumn(name, label)
+    return row_number(df, order, rn).withColumn(
+        name, F.when(r > F.lit(n_train), F.lit("test")).when(r > F.lit(n_train - n_cal), F.lit("cal"))
+        .otherwise(F.lit("train")))
 
 
 def keyed_chrono_split(df: DataFrame, order, key: str, test_frac: float = 0.2, cal_frac: float | None = None,
@@ -58,52 +150,20 @@ def hash_key(row_id: str, seed: int = 42):
     return F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{int(seed)}")))
 
 
-KEY_BITS, LEVEL_BITS = 60, 12
-
-
-def rank_cut(df: DataFrame, key: str, rank: int) -> tuple[int, int]:
-    """The key (a number of ``KEY_BITS`` bits) of the row at 1-based
-    ``rank`` in key order, and how many rows have a smaller one. Found by
-    histograms of 2^12 buckets, each refining the bucket that holds the
-    rank: no sort, and only bucket counts are exchanged."""
-    lo, below = 0, 0
-    for bits in range(KEY_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        inside = df.filter((F.col(key) >= lo) & (F.col(key) < lo + (1 << (bits + LEVEL_BITS))))
-        hist = inside.groupBy(F.expr(f"shiftright({key} - {lo}L, {bits})").alias("b")).count().collect()
-        for b, n in sorted((r["b"], r["count"]) for r in hist):
-            if below + n >= rank:
-                lo += b << bits
-                break
-            below += n
-    return lo, below
-
-
 def seeded_split(df: DataFrame, row_id: str, test_frac: float = 0.3, seed: int = 42,
                  name: str = "split", n: int | None = None) -> DataFrame:
-    """Exactly ceil(f*n) rows are ``test``, chosen by a seeded hash
+    """Exactly ceil(f*n) rows are ``test``, the first of a seeded hash
     order of a stable row id (independent of partitioning, unlike
-    ``randomSplit``). The hash that cuts the order is found by histograms;
-    rows are then labelled where they lie. Only rows that share this one
-    hash are put in order."""
+    ``randomSplit``). The hash that ends them is found like any cut, and
+    rows are labelled where they lie."""
     n = df.count() if n is None else n
-    n_test = n_test_of(n, test_frac)
-    if not n_test:
-        return df.withColumn(name, F.lit("train"))
-    # the first 60 bits of the md5, in the same order as its text
-    h = F.conv(F.substring(hash_key(row_id, seed), 1, 15), 16, 10).cast("long")
-    x = df.withColumn("_h", F.coalesce(h, F.lit((1 << KEY_BITS) - 1)))
-    cut, below = rank_cut(x.select("_h"), "_h", n_test)
-    free = x.filter(F.col("_h") != cut).withColumn(
-        name, F.when(F.col("_h") < cut, F.lit("test")).otherwise(F.lit("train")))
-    tied = x.filter(F.col("_h") == cut).withColumn("_hk", hash_key(row_id, seed))
-    tied = row_number(tied, ["_hk", row_id], "_hrn").withColumn(
-        name, F.when(F.col("_hrn") <= n_test - below, F.lit("test")).otherwise(F.lit("train")))
-    return free.drop("_h").unionByName(tied.drop("_h", "_hk", "_hrn"))
+    x = df.withColumn("_h", hash_key(row_id, seed))
+    return label_ranks(x, ["_h", row_id], [("test", n_test_of(n, test_frac)), ("train", n)], name, n).drop("_h")
 
 
 def cap_rows(df: DataFrame, max_rows: int, rn: str = "row_number",
              split: str = "split", which: str = "train") -> DataFrame:
     """Keep only the first ``max_rows`` rows (by row number) of one
-    split; other splits pass unchanged. ``chrono_split`` numbers rows from
-    the start, so train rows are exactly 1..n_train."""
+    split; other splits pass unchanged. ``chrono_split(rn=...)`` numbers
+    rows from the start, so train rows are exactly 1..n_train."""
     return df.filter((F.col(split) != F.lit(which)) | (F.col(rn) <= F.lit(max_rows)))

@@ -98,7 +98,7 @@ FROM s"""
 
 def _chrono(spark, sf_dir):
     s = FX.irregular_series(spark, sf_dir).select("event_id", "ts")
-    return SP.chrono_split(s, ["ts", "event_id"], test_frac=0.2, cal_frac=0.1)
+    return SP.chrono_split(s, ["ts", "event_id"], test_frac=0.2, cal_frac=0.1, rn="row_number")
 
 
 @register("chrono_split", _SPLIT_SQL, covers=("W7", "W8"))
@@ -106,6 +106,19 @@ def chrono_split(spark, sf_dir):
     return _chrono(spark, sf_dir)
 
 
+@register("chrono_labels", O.with_(O.IRREGULAR) + """
+, r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM series),
+s AS (SELECT *, n - CAST(ceil(0.2 * n) AS BIGINT) AS n_train FROM r)
+SELECT event_id, ts, event_type, value,
+  CASE WHEN rn > n_train THEN 'test'
+       WHEN rn > n_train - CAST(ceil(0.1 * n_train) AS BIGINT) THEN 'cal' ELSE 'train' END AS split
+FROM s""", covers=("W7", "W8"))
+def chrono_labels(spark, sf_dir):
+    """The same split without row numbers: whole rows, labelled where they lie."""
+    s = FX.irregular_series(spark, sf_dir)
+    return SP.chrono_split(s, ["ts", "event_id"], test_frac=0.2, cal_frac=0.1)
+
+
 @register("train_cap", f"SELECT * FROM ({_SPLIT_SQL}) x WHERE split <> 'train' OR row_number <= 5000",
           covers=("W10",))
 def train_cap(spark, sf_dir):
