@@ -59,6 +59,8 @@ def _encoded(df: DataFrame, names) -> list[tuple[Column, T.DataType]]:
 def typed(value, t: T.DataType) -> str:
     """SQL text of a constant of type ``t``; bytes go as hex, so no text
     needs escaping."""
+    if isinstance(t, T.LongType) and value is not None and value > -(1 << 63):
+        return f"{value}L"
     if value is None:
         text = "NULL"
     elif isinstance(value, (str, bytes, bytearray)):
@@ -98,13 +100,18 @@ class Order:
             return F.lit(0)
         step = max(1, int(len(bounds) ** 0.5))
         blocks = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+        heads = self.literals([b[0] for b in blocks])
+        inside = F.expr("array(" + ", ".join(f"array({', '.join(self._text(r) for r in b)})" for b in blocks) + ")")
 
-        def reached(table):
-            return F.size(F.filter(table, lambda b: b <= self.value))
+        def reached(table, value):
+            return F.size(F.filter(table, lambda b: b <= value))
 
-        block = reached(self.literals([b[0] for b in blocks]))
-        inside = F.expr("array(" + ", ".join(f"array({', '.join(self._text(r) for r in b)})" for b in blocks) + ")")
-        return F.when(block == 0, 0).otherwise((block - 1) * step + reached(F.element_at(inside, F.greatest(block, F.lit(1)))))
+        def place(value):
+            # arrays of one element name a value that is used more than once
+            return F.transform(F.array(reached(heads, value)), lambda k: F.when(k == 0, 0).otherwise(
+                (k - 1) * step + reached(F.element_at(inside, F.greatest(k, F.lit(1))), value)))
+
+        return F.flatten(F.transform(F.array(self.value), place))[0]
 
 
 def sample_values(df: DataFrame, order: Order, n: int, wanted: int) -> list[tuple[tuple, int]]:

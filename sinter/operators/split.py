@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sinter.operators.sequence import Order, row_number, sample_values
 
-PIVOTS = 1 << 10
-SAMPLE, FEW = 1 << 15, 1 << 15
+PIVOTS = 1 << 8
+SAMPLE, FEW = 1 << 13, 1 << 13
 
 
 def n_test_of(n: int, test_frac: float) -> int:
@@ -45,12 +45,12 @@ def _among(counted, rank: int, below: int) -> Cut:
 
 
 def _pivots(df: DataFrame, order: Order, n: int) -> list[tuple]:
-    """Sorted values of rows, the smallest among them: every look at an
+    """Sorted values of rows of ``df``, at least one: every look at an
     interval takes its pivots out of it, whatever the sample holds."""
     values = [v for v, _ in sample_values(df, order, n, SAMPLE)]
-    picked = values[::max(1, len(values) // PIVOTS)]
-    least = tuple(df.agg(F.min(order.value).alias("v")).first()["v"])
-    return picked if picked and picked[0] == least else [least] + picked
+    if not values:
+        return [tuple(df.agg(F.min(order.value).alias("v")).first()["v"])]
+    return values[::-(-len(values) // PIVOTS)]
 
 
 def rank_cut(df: DataFrame, order: Order, rank: int, n: int) -> Cut:
@@ -60,11 +60,11 @@ def rank_cut(df: DataFrame, order: Order, rank: int, n: int) -> Cut:
     below, inside = 0, df
     while n > FEW:
         pivots = _pivots(inside, order, n)
-        at = order.position(pivots)
-        table = order.literals(pivots)
+        seen = inside.select(order.value.alias("v"), order.position(pivots).alias("at"))
         # odd places are pivots, even ones the open intervals around them
-        place = F.when(at == 0, 0).otherwise(2 * at - F.when(F.get(table, at - 1) == order.value, 1).otherwise(0))
-        counts = {r["place"]: r["count"] for r in inside.groupBy(place.alias("place")).count().collect()}
+        is_pivot = F.get(order.literals(pivots), F.col("at") - 1) == F.col("v")
+        place = 2 * F.col("at") - F.coalesce(is_pivot, F.lit(False)).cast("int")
+        counts = {r["place"]: r["count"] for r in seen.groupBy(place.alias("place")).count().collect()}
         for i in sorted(counts):
             if below + counts[i] >= rank:
                 break
