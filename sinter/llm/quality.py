@@ -5,11 +5,14 @@ On top of them every rule of ``RULES`` compares one text statistic with a
 cutoff, and the cutoff is chosen from labelled documents, for each stratum
 (language) on its own. A candidate cutoff is certified when the exact
 binomial test rejects "the rule drops more than ``risk / rules`` of the good
-documents" at level ``delta`` divided by the number of all tests (strata x
-rules x cutoffs; Bonferroni), so that with probability 1 - delta every
-stratum loses at most ``risk`` of its good documents to all its rules
-together, whatever cutoff is then picked. Of the certified ones the rule
-takes the cutoff with the largest (bad documents dropped - ``cost`` x good
+documents". The cutoffs of a rule are tested in a fixed order, the most
+lenient first, each at level ``delta / (strata x rules)``, up to the first
+that fails: in a fixed sequence no further correction is needed, as a wrong
+certificate takes an error at the first cutoff that deserves none (Bonferroni
+over strata and rules, fixed sequence inside). So with probability 1 - delta
+every stratum loses at most ``risk`` of its good documents to all its rules
+together, whatever certified cutoff is then picked. Of those the rule takes
+the cutoff with the largest (bad documents dropped - ``cost`` x good
 documents dropped), the most lenient of equals; without a certified cutoff
 that drops more bad than that, the rule is off in that stratum.
 
@@ -142,7 +145,7 @@ def choose(counts: dict, risk: float = RISK, delta: float = DELTA, cost: float =
     cutoff under ``(rule, cutoff)``; label 1 is good, 0 bad.
     """
     rules = RULES if rules is None else rules
-    tests = max(1, len(counts) * sum(len(c) for c in rules.values()))
+    tests = max(1, len(counts) * len(rules))
     out = {}
     for stratum, by in counts.items():
         good, bad = by.get(1), by.get(0)
@@ -153,7 +156,7 @@ def choose(counts: dict, risk: float = RISK, delta: float = DELTA, cost: float =
             for cutoff in sorted(cutoffs, reverse=True):
                 wrong, right = good[rule, cutoff], bad[rule, cutoff]
                 if binomial_cdf(wrong, good["n"], risk / len(rules)) > delta / tests:
-                    continue
+                    break
                 if right - cost * wrong > best:
                     best = right - cost * wrong
                     out[stratum, rule] = cutoff

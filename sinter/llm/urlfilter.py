@@ -15,7 +15,8 @@ with the intervals of the pattern, and the interval that holds the day; it
 finds one interval at most. Verdicts go back to the captures by host and
 day; pairs with very many captures are dealt out by salt.
 
-Defined results: a null or malformed URL has no host, and a capture without
+Defined results: a null or malformed URL has no host, nor has one whose host
+is longer than the 253 characters that the domain name system allows; and a capture without
 host or day is not blocked and has no pattern; several entries of one
 pattern on one day: block wins over allow, allow over remove; entries with a
 null part don't count; repeated captures are judged each; empty tables give
@@ -28,14 +29,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PART = 50_000
+# captures of a pair that share a salt, and how many pairs may need one
+PART, MOST_SALTED = 50_000, 100_000
+MAX_HOST = 253
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL; null where there is none."""
     host = F.lower(F.regexp_extract(url, HOST, 1))
-    return F.when(host != "", F.rtrim(host, F.lit(".")))
+    name = F.rtrim(host, F.lit("."))
+    return F.when((host != "") & (F.char_length(name) <= MAX_HOST), name)
 
 
 def domains_of(host: Column) -> Column:
@@ -76,9 +80,10 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day: st
     pairs = x.filter(F.col("host").isNotNull() & F.col(day).isNotNull()).groupBy(
         "host", F.col(day).cast("date").alias("day")).agg(F.count("*").alias("n"))
     decided = verdicts(pairs, entries).join(pairs, ["host", "day"])
-    salts = F.floor(F.col("n") / PART).cast("int")
-    # no more pairs can be that common than captures / PART
-    big = F.broadcast(pairs.filter(F.col("n") >= PART).select(
+    # no more than MOST_SALTED pairs can be that common
+    part = max(PART, -(-captures.count() // MOST_SALTED))
+    salts = F.floor(F.col("n") / part).cast("int")
+    big = F.broadcast(pairs.filter(F.col("n") >= part).select(
         F.col("host").alias("__h"), F.col("day").alias("__d"), (salts + 1).alias("__m")))
     right = decided.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts))).select(
         F.col("host").alias("__host"), F.col("day").alias("__day"), "__salt", "pattern", "action")
@@ -116,10 +121,11 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH c AS (
+WITH u AS (
   SELECT page_id, url, DATE '2024-01-01' + ((page_id * 37) % 400)::INT AS fetch_day,
-         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host
+         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS named
   FROM pages),
+c AS (SELECT page_id, url, fetch_day, CASE WHEN length(named) <= 253 THEN named END AS host FROM u),
 h AS (SELECT DISTINCT host FROM c WHERE host IS NOT NULL),
 o AS (
   SELECT host AS pattern, 2 AS every FROM h

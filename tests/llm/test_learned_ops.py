@@ -308,6 +308,12 @@ def test_url_lists(spark):
     got = {r.page_id: r.blocked for r in urlfilter.judge(captures, entries).collect()}
     assert got == {i: c[2] for i, c in enumerate(cases)}
     assert urlfilter.judge(captures.limit(0), entries).count() == 0
+    # hosts of very many labels aren't hosts; a URL may be as long as it likes
+    long = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "example", date(2024, 3, 1)),
+                                  (2, "http://" + "a." * 123 + "example/" + "p" * 300_000, date(2024, 3, 1))],
+                                 "page_id long, url string, fetch_day date")
+    hosts = {r.page_id: r.host for r in urlfilter.judge(long, entries).select("page_id", "host").collect()}
+    assert hosts[1] is None and len(hosts[2]) == 253
     assert urlfilter.judge(captures, entries.limit(0)).filter("blocked").count() == 0
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sinter.llm import chat, mixing, packing, quality, tokenfile
@@ -46,12 +47,14 @@ def test_block_round_trip():
     for top in (2, 300, 70_000, 1 << 25):
         lengths = rng.integers(0, 50, 40)
         ids = rng.integers(0, top, lengths.sum()).astype(np.uint32)
-        back, n = tokenfile.unpack_block(tokenfile.pack_block(ids, lengths))
+        named = pa.array([None if i % 3 == 1 else -i for i in range(len(lengths))], pa.int64())
+        back, n, docs = tokenfile.unpack_block(tokenfile.pack_block(ids, lengths, named))
+        assert docs.equals(named)
         assert (back == ids).all() and (n == lengths).all()
-    back, n = tokenfile.unpack_block(tokenfile.pack_block(np.zeros(0, np.uint32), np.zeros(2, np.int64)))
+    back, n, _ = tokenfile.unpack_block(tokenfile.pack_block(np.zeros(0, np.uint32), np.zeros(2, np.int64), pa.array([1, 2])))
     assert len(back) == 0 and n.tolist() == [0, 0]
     with pytest.raises(ValueError):
-        tokenfile.unpack_block(tokenfile.pack_block(ids, lengths)[:-1])
+        tokenfile.unpack_block(tokenfile.pack_block(ids, lengths, named)[:-1])
 
 
 def test_token_file(spark, bpe):
@@ -62,6 +65,14 @@ def test_token_file(spark, bpe):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(raw), zlib.crc32(raw.tobytes()))
         at += len(raw)
     assert tokenfile.token_file(rows(spark, [])).count() == 0
+    # null and repeated ids, and one row repeated very often
+    many = spark.createDataFrame([(None, "a b"), (None, None), (3, "x")] + [(7, "same text")] * 3000, "doc_id long, text string")
+    back = tokenfile.token_file(many.repartition(3)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in back) == [(False, 0)] * 2 + [(True, 3)] + [(True, 7)] * 3000
+    end = 0
+    for r in sorted(back, key=lambda r: r.start):
+        assert r.start == end
+        end += r.n_tokens
 
 
 def test_packing(spark, bpe):
@@ -187,6 +198,26 @@ def test_cutoffs_need_evidence_and_keep_the_risk():
     assert quality.choose({}, rules=rules) == {}
 
 
+def test_cutoffs_are_tested_in_sequence():
+    """The most lenient first, each at delta / (strata x rules), up to the
+    first failure; a tested order needs fewer good documents."""
+    rules = {"r": (10, 20, 30)}
+    bad = {"n": 50, ("r", 10): 50, ("r", 20): 40, ("r", 30): 30}
+    for n, sure in ((59, True), (58, False)):        # 0.95 ** 59 < 0.05 < 0.95 ** 58
+        good = {"n": n, ("r", 10): 0, ("r", 20): 0, ("r", 30): 0}
+        assert bool(quality.choose({"en": {1: good, 0: bad}}, rules=rules)) == sure
+    # a stricter cutoff behind a failed one isn't looked at
+    good = {"n": 500, ("r", 10): 0, ("r", 20): 400, ("r", 30): 0}
+    assert quality.choose({"en": {1: good, 0: bad}}, rules=rules) == {("en", "r"): 30}
+
+
+def test_given_labels_certify_cutoffs(spark):
+    d = "/root/testdata/sf0.1"
+    stats = quality.store(quality.with_statistics(spark.read.parquet(f"{d}/documents.parquet")), "statistics")
+    got = quality.calibrate(stats, spark.read.parquet(f"{d}/labels.parquet"))
+    assert got
+
+
 def test_false_rejections_stay_below_the_risk(spark):
     """Held-out good documents are lost no more often than the risk says."""
     rng = random.Random(4)
