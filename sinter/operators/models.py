@@ -21,6 +21,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sinter.functions import metrics as M
+from sinter.operators.boosting import HistogramBooster
 from sinter.operators.features import apply_standardiser, fit_standardiser, imputer, one_hot_stages
 
 # The reference's model settings.
@@ -31,11 +32,12 @@ XGB_TREES, XGB_RATE, XGB_SUBSAMPLE, XGB_COLSAMPLE = 400, 0.05, 0.8, 0.8
 
 
 def model_specs(grid: str = "union", rf_depth: int = 12, max_bins: int = 32,
-                rf_trees: int | None = None) -> dict:
+                rf_trees: int | None = None, id_col: str = "") -> dict:
     """Model grids of the reference.
 
     ``union``: forest 300 trees, boosting defaults (100 x 0.1, depth 3) and
-    the xgboost-like booster (400 x 0.05, row and column sampling 0.8).
+    the xgboost-like booster (400 x 0.05, rows and columns sampled 0.8 for
+    each tree; ``id_col`` names its row key).
     ``conformal``: forest 100 trees and a default xgboost-like booster
     (100 x 0.3, depth 6). Spark trees stop at depth 30; the reference grows
     forests to purity, so the forest depth is a parameter.
@@ -49,9 +51,9 @@ def model_specs(grid: str = "union", rf_depth: int = 12, max_bins: int = 32,
                 maxBins=max_bins, maxMemoryInMB=mem, seed=RF_SEED),
             "GradientBoosting": lambda: GBTRegressor(
                 maxIter=GB_TREES, stepSize=GB_RATE, maxDepth=GB_DEPTH, maxBins=max_bins, seed=RF_SEED),
-            "XGBoost": lambda: GBTRegressor(
+            "XGBoost": lambda: HistogramBooster(
                 maxIter=XGB_TREES, stepSize=XGB_RATE, maxDepth=6, subsamplingRate=XGB_SUBSAMPLE,
-                featureSubsetStrategy=str(XGB_COLSAMPLE), maxBins=max_bins, seed=RF_SEED),
+                columnRate=XGB_COLSAMPLE, seed=RF_SEED, idCol=id_col),
         }
     if grid == "conformal":
         trees = rf_trees or 100

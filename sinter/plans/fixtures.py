@@ -119,8 +119,9 @@ def planted_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(noise, F.lit(-500.0)).otherwise(y).alias("y"))
 
 
-def planted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label with signal in quantity, discount and the regime."""
+def planted_regression(spark: SparkSession, sf_dir: str, keep=()) -> DataFrame:
+    """A label with signal in quantity, discount and the regime; columns
+    named in ``keep`` stay."""
     li = table(spark, sf_dir, "lineitem")
     flag = F.col("l_returnflag")
     label = (2 * F.col("l_quantity") + 100 * F.col("l_discount")
@@ -131,7 +132,7 @@ def planted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64(*li.columns).alias("row_id"),
         F.col("l_shipdate").alias("ts"),
         F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"),
-        F.col("l_tax").alias("tax"), cluster.alias("cluster"), label.cast("double").alias("label"))
+        F.col("l_tax").alias("tax"), cluster.alias("cluster"), label.cast("double").alias("label"), *keep)
 
 
 def block_table(spark: SparkSession, sf_dir: str, every: str = "1 hour") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sinter.functions import metrics as M
 from sinter.functions.clean import round6
-from sinter.operators import conformal as CF, features as FE, models as MD, split as SP
+from sinter.operators import boosting as BO, conformal as CF, features as FE, models as MD, split as SP
 from sinter.plans import fixtures as FX, oracle as O
 from sinter.plans.catalog import register
 from sinter.session import scratch_path
@@ -157,6 +157,79 @@ def forest_model(spark, sf_dir):
                                    cluster="cluster", specs=specs, method="returnflag", period="all"))
 
 
+# candidate cuts of the three measures and the regime, and one tree's settings
+TREE_EDGES = [[i + 0.5 for i in range(1, 50)], [i / 100 + 0.005 for i in range(10)],
+              [i / 100 + 0.005 for i in range(8)], [0.5, 1.5]]
+TREE_RATE, TREE_LAMBDA, TREE_SEED, TREE_ROWS = 0.05, 1.0, 42, 0.8
+
+
+def _tree_sql() -> str:
+    """One tree of two levels: rows drawn by the mixed key, then sums left of
+    every cut, the best cut of the root and of its children."""
+    salt = int(BO.mix32((TREE_SEED * 1_000_003) & 0xFFFFFFFF))
+    mix = "k{i} AS (SELECT * EXCLUDE (u), {e} AS u FROM k{j})"
+    steps = ["xor(u, u >> 16)", "(u * 2146121005::UBIGINT) & 4294967295::UBIGINT", "xor(u, u >> 15)",
+             "(u * 2221713035::UBIGINT) & 4294967295::UBIGINT", "xor(u, u >> 16)"]
+    mixed = ",\n".join(mix.format(i=i + 1, j=i, e=e) for i, e in enumerate(steps))
+    cuts = ", ".join(f"({j}, {i}, {e!r}::DOUBLE)" for j, es in enumerate(TREE_EDGES) for i, e in enumerate(es))
+    lam = TREE_LAMBDA
+
+    def best(name, source, node):
+        return f"""
+{name}_s AS (SELECT {node} AS node, c.col, c.cut, c.edge, sum(g) AS g, count(*) AS h,
+    coalesce(sum(g) FILTER (x[c.col + 1] < c.edge), 0) AS lg, count(*) FILTER (x[c.col + 1] < c.edge) AS lh
+  FROM {source}, cuts c GROUP BY ALL),
+{name} AS (SELECT *, lg * lg / (lh + {lam}) + (g - lg) * (g - lg) / (h - lh + {lam}) - g * g / (h + {lam}) AS gain
+  FROM {name}_s WHERE lh >= 1 AND h - lh >= 1
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, col, cut) = 1)"""
+
+    return O.with_() + f"""
+cuts AS (SELECT * FROM (VALUES {cuts}) v(col, cut, edge)),
+src AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS key,
+    [l_quantity, l_discount, l_tax,
+     CASE l_returnflag WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 ELSE 2.0 END]::DOUBLE[] AS x,
+    2 * l_quantity + 100 * l_discount + CASE WHEN l_returnflag = 'R' THEN 20.0 ELSE 0.0 END
+      + (l_partkey % 11) - 5 AS label FROM lineitem),
+base AS (SELECT avg(label) AS base FROM src),
+k0 AS (SELECT x, base - label AS g, xor(CAST(('0x' || substr(md5(key), 1, 8)) AS UBIGINT), {salt}::UBIGINT) AS u
+       FROM src, base),
+{mixed},
+drawn AS (SELECT x, g FROM k5 WHERE u < {round(TREE_ROWS * 2 ** 32)}::UBIGINT),
+{best("root", "drawn", "0")},
+child AS (SELECT d.x, d.g, CASE WHEN d.x[r.col + 1] < r.edge THEN 1 ELSE 2 END AS node FROM drawn d, root r),
+{best("kids", "child", "node")},
+leaf AS (SELECT CASE WHEN c.x[k.col + 1] < k.edge THEN 2 * c.node + 1 ELSE 2 * c.node + 2 END AS node,
+  sum(c.g) AS g, count(*) AS h FROM child c JOIN kids k ON k.node = c.node GROUP BY 1)
+SELECT node, CAST(col AS BIGINT) AS split_column, edge, CAST(h AS BIGINT) AS n_rows, round(gain / h, 6) AS gain,
+  round(-{TREE_RATE} * g / (h + {lam}), 6) AS value FROM (SELECT * FROM root UNION ALL SELECT * FROM kids)
+UNION ALL SELECT node, -1, NULL, h, 0.0, round(-{TREE_RATE} * g / (h + {lam}), 6) FROM leaf"""
+
+
+@register("booster_tree", _tree_sql(), covers=("M7",))
+def booster_tree(spark, sf_dir):
+    """Splits, gains and leaf values of a sampled first tree of two levels."""
+    r = FX.planted_regression(spark, sf_dir, keep=("l_orderkey", "l_linenumber")).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), "label",
+        F.array(*[F.col(c).cast("double") for c in (*FEATURES, "cluster")]).alias("features"))
+    booster = BO.HistogramBooster(maxIter=1, stepSize=TREE_RATE, maxDepth=2, subsamplingRate=TREE_ROWS,
+                                  regLambda=TREE_LAMBDA, seed=TREE_SEED, idCol="key", edges=TREE_EDGES)
+    t = booster.grown(r)[1][0]
+    rows = [(i, int(t.column[i]), TREE_EDGES[t.column[i]][t.cut[i]] if t.column[i] >= 0 else None, int(t.h[i]),
+             float(t.gain[i]) / int(t.h[i]) if t.h[i] else 0.0, float(t.value[i]))
+            for i in range(len(t.column)) if t.h[i]]
+    out = spark.createDataFrame(rows, "node int, split_column long, edge double, n_rows long, gain double, value double")
+    return out.withColumns({"gain": round6("gain"), "value": round6("value")})
+
+
+@register("booster_model", _SPLIT_SIZES.format(models="('XGBoost')"), covers=("M4", "M7", "M10"))
+def booster_model(spark, sf_dir):
+    """The union grid's booster: 400 trees of depth 6, rate 0.05, 0.8 of the
+    rows and columns for each tree."""
+    specs = {"XGBoost": MD.model_specs("union", id_col="row_id")["XGBoost"]}
+    return MD.checkable(MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
+                                   cluster="cluster", specs=specs, method="returnflag", period="all"))
+
+
 @register("saved_pipeline", O.with_(O.REGRESSION) + """
 SELECT count(*) AS n_rows, count(*) AS n_equal FROM reg""", covers=("S11", "M4"))
 def saved_pipeline(spark, sf_dir):
