@@ -19,7 +19,7 @@ def con():
 # too few calibration rows at sf0.001: the level exceeds 1 and we refuse
 RAISES_AT_SMALL = {"conformal_intervals": ValueError}
 
-# 2 400 passes, six minutes whatever the size: run by tools/check_oracle.py;
+# 2 400 passes, six minutes at sf0.01: run by tools/check_oracle.py;
 # tests/test_boosting.py compares the booster with brute force
 LONG = {"booster_model"}
 
