@@ -14,6 +14,12 @@ the number of rows. Each tree's margins are a cached projection of the blocks
 before; every ``REFRESH`` trees the blocks are written, so a lost executor
 costs at most that many projections of its own blocks.
 
+Rows with the same bins have the same margin and go to the same nodes. Where
+there are at most ``MAX_CELLS`` different rows of bins (measures on a short
+scale, or few bins), a block holds the number of that cell instead, a tree
+takes one pass (gradient and row count per cell) and its levels are cut on
+the driver from those sums; the trees are the same.
+
 Gradients are rounded to a fixed step and summed as 64-bit integers, so sums
 don't depend on the order or the cutting of partitions: with ``idCol`` set,
 reruns, lost executors and other partitionings give the same trees (the
@@ -27,7 +33,9 @@ gives a model that predicts 0.
 
 from __future__ import annotations
 
+import functools
 import json
+import math
 import sys
 
 import numpy as np
@@ -38,6 +46,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
@@ -54,6 +63,10 @@ ROW_BITS = 38             # a rounded gradient; 2^14 of them add up exactly as d
 SUM_BITS = 62
 BLOCKS = "n int, bins binary, label binary, key binary, margin binary"
 SUMS = "slot int, g long, h long"
+MAX_CELLS = 1 << 17       # different rows of bins that are summed as they are
+DRIVER_SUMS = 1 << 21     # sums that tasks may send to the driver unmerged
+CELL_BLOCKS = "n int, cell binary, label binary, key binary"
+CELL_SUMS = "tree int, g binary, h binary"
 
 
 def mix32(x):
@@ -207,6 +220,147 @@ def _tally(tree, level, columns, width, cells, step, seed, number, rate):
     return run
 
 
+def _radix(edges):
+    """Place values of the columns' bins in one number, or None if it won't
+    fit 62 bits."""
+    place, out = 1, []
+    for e in edges:
+        out.append(place)
+        place *= len(e) + 2
+    return out if place < 1 << 62 else None
+
+
+def _codes(bins, edges, radix):
+    code = np.zeros(bins.shape[1], np.int64)
+    for b, e, place in zip(bins, edges, radix):
+        code += np.where(b == MISSING, len(e) + 1, b).astype(np.int64) * place
+    return code
+
+
+def _to_codes(edges, radix):
+    """The different codes of each batch."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                code = _codes(to_bins(_dense(b.column(0), len(edges)), edges), edges, radix)
+                yield pa.RecordBatch.from_pydict({"code": pa.array(np.unique(code), pa.int64())})
+    return run
+
+
+def _cell_bins(codes, edges, radix):
+    """The bins of each code, one row for each column."""
+    out = np.empty((len(edges), len(codes)), np.uint8)
+    for j, (e, place) in enumerate(zip(edges, radix)):
+        digit = codes // place % (len(e) + 2)
+        out[j] = np.where(digit == len(e) + 1, MISSING, digit)
+    return out
+
+
+def _to_cell_blocks(edges, radix, codes):
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 14):    # as many rounded gradients add up exactly
+                part = b.slice(at, 1 << 14)
+                code = _codes(to_bins(_dense(part.column(0), len(edges)), edges), edges, radix)
+                yield pa.RecordBatch.from_pydict({
+                    "n": pa.array([len(code)], pa.int32()),
+                    "cell": [np.searchsorted(codes, code).astype(np.int32).tobytes()],
+                    "label": [part.column(1).to_numpy(zero_copy_only=False).astype(np.float64).tobytes()],
+                    "key": [part.column(2).to_numpy(zero_copy_only=False).astype(np.uint32).tobytes()]})
+    return run
+
+
+def _cell_tally(margin, step, draws):
+    """Sums per cell of the rows each of ``draws`` (number -> key -> times a
+    row is taken) takes; a task sends one row a tree."""
+    def run(batches):
+        size = len(margin)
+        total = {t: (np.zeros(size, np.int64), np.zeros(size, np.int64)) for t in draws}
+        for b in batches:
+            cols = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            for i in range(b.num_rows):
+                cell = np.frombuffer(cols["cell"][i].as_buffer(), np.int32)
+                label = np.frombuffer(cols["label"][i].as_buffer())
+                key = np.frombuffer(cols["key"][i].as_buffer(), np.uint32)
+                g = np.rint((margin[cell] - label) * step)
+                for t, draw in draws.items():
+                    times = draw(key)
+                    if times.dtype == bool:
+                        at, gt, ht = cell[times], g[times], None
+                    else:
+                        at, gt, ht = cell, g * times, times
+                    total[t][0][:] += np.bincount(at, gt, size).astype(np.int64)
+                    total[t][1][:] += np.bincount(at, ht, size).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({
+            "tree": pa.array(list(total), pa.int32()), "g": [g.tobytes() for g, _ in total.values()],
+            "h": [h.tobytes() for _, h in total.values()]})
+    return run
+
+
+def _cell_slots(batches):
+    """The sums of ``_cell_tally`` one by one."""
+    for b in batches:
+        for row in b.to_pylist():
+            g, h = np.frombuffer(row["g"], np.int64), np.frombuffer(row["h"], np.int64)
+            used = np.flatnonzero(h)
+            yield pa.RecordBatch.from_pydict({
+                "tree": pa.array(np.full(len(used), row["tree"]), pa.int32()), "slot": pa.array(used, pa.int32()),
+                "g": pa.array(g[used], pa.int64()), "h": pa.array(h[used], pa.int64())})
+
+
+class Cells:
+    """The rows as blocks of cell numbers, and the cells' bins."""
+
+    def __init__(self, blocks: DataFrame, parts: int, bins):
+        self.blocks, self.parts, self.bins = blocks, parts, bins
+
+    @classmethod
+    def of(cls, rows: DataFrame, edges, n: int):
+        """None if there are too many different rows of bins."""
+        radix = _radix(edges)
+        if radix is None:
+            return None
+        found = rows.mapInArrow(_to_codes(edges, radix), "code long").distinct().limit(MAX_CELLS + 1).collect()
+        if len(found) > MAX_CELLS:
+            return None
+        codes = np.sort(np.array([r["code"] for r in found], np.int64))
+        blocks = rows.mapInArrow(_to_cell_blocks(edges, radix, codes), CELL_BLOCKS)
+        spread = rows.sparkSession.sparkContext.defaultParallelism
+        parts = max(1, min(spread, -(-n // PART_ROWS)))
+        return cls(HistogramBooster._stored(blocks.repartition(parts), rows.sparkSession, parts), parts,
+                   _cell_bins(codes, edges, radix))
+
+    def sums(self, margin, step, draws) -> dict:
+        """{tree: (g, h) per cell}, exact integers."""
+        size = self.bins.shape[1]
+        got = self.blocks.mapInArrow(_cell_tally(margin, step, draws), CELL_SUMS)
+        out = {t: (np.zeros(size, np.int64), np.zeros(size, np.int64)) for t in draws}
+        if self.parts * size * len(draws) <= DRIVER_SUMS:
+            for r in got.collect():
+                for total, part in zip(out[r["tree"]], (r["g"], r["h"])):
+                    total += np.frombuffer(part, np.int64)
+            return out
+        merged = got.mapInArrow(_cell_slots, "tree int, " + SUMS).groupBy("tree", "slot").agg(
+            F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+        for t, part in merged.groupby("tree"):
+            out[t][0][part["slot"]], out[t][1][part["slot"]] = part["g"], part["h"]
+        return out
+
+    def level(self, g, h):
+        """Sums per (node, column, bin) of a level, out of those per cell."""
+        def found(tree, level, columns, cells):
+            first, nodes = 2 ** level - 1, 2 ** level
+            at = tree.nodes(self.bins)
+            here = np.flatnonzero((h > 0) & (at >= first))
+            last = np.where(np.arange(256) == MISSING, cells - 1, np.arange(256))
+            sums = [np.zeros((nodes, len(columns), cells), np.int64) for _ in range(2)]
+            for total, part in zip(sums, (g[here], h[here])):
+                for j, c in enumerate(columns):
+                    np.add.at(total, (at[here] - first, j, last[self.bins[c, here]]), part)
+            return sums
+        return found
+
+
 def best_split(g, h, lam: float, min_child: float):
     """The best cut of one node from its (column, bin) sums, the last bin
     being the missing values: (gain, column position, cut, missing left) or
@@ -295,22 +449,35 @@ class HistogramBooster(Estimator, _BoosterParams, DefaultParamsReadable, Default
             raise ValueError(f"a column may have at most {MAX_EDGES} edges")
         return edges
 
-    def _fit(self, dataset):
-        return self._copyValues(self.grown(dataset)[0])
-
-    def grown(self, dataset):
-        """The model and its trees with their gains and sums."""
-        of, spark = self.getOrDefault, dataset.sparkSession
+    def _start(self, dataset):
+        """The rows, their number and last part, the step of rounded
+        gradients, the mean label and the columns' edges."""
         rows = self._rows(dataset)
         n, top, width, parts = rows.withColumn("part", F.spark_partition_id()).agg(
             F.count(F.lit(1)), F.max(F.abs("label")), F.max(F.size("x")), F.max("part")).first()
         if not n:
-            return BoosterModel(state=json.dumps({"base": 0.0, "depth": 0, "edges": [], "trees": []})), []
+            return rows, 0, 0, 1.0, 0.0, []
         # residuals stay within a few times the largest label
         high = int(np.ceil(np.log2(4.0 * top + 1e-300))) if top else 0
         step = 2.0 ** (min(ROW_BITS, SUM_BITS - int(np.ceil(np.log2(n + 1)))) - high)
         base = rows.agg(F.sum(F.rint(F.col("label") * step).cast("long"))).first()[0] / step / n
-        edges = self._edges(rows, width)
+        return rows, n, parts, step, base, self._edges(rows, width)
+
+    def _fit(self, dataset):
+        return self._copyValues(self.grown(dataset)[0])
+
+    def grown(self, dataset):
+        """The model and its trees with their gains and sums."""
+        of, spark = self.getOrDefault, dataset.sparkSession
+        rows, n, parts, step, base, edges = self._start(dataset)
+        if not n:
+            return BoosterModel(state=json.dumps({"base": 0.0, "depth": 0, "edges": [], "trees": []})), []
+        width = len(edges)
+        cells = Cells.of(rows, edges, n)
+        if cells is not None:
+            trees = self._from_cells(cells, edges, step, base)
+            cells.blocks.unpersist()
+            return self._model(base, edges, trees), trees
         blocks = rows.mapInArrow(_to_blocks(edges, base), BLOCKS)
         # every level reads the blocks: few rows in many tasks, or many in few, would cost each time
         parts = int(parts) + 1
@@ -326,43 +493,72 @@ class HistogramBooster(Estimator, _BoosterParams, DefaultParamsReadable, Default
                 old, fresh = blocks, blocks.mapInArrow(_renew(tree, width), BLOCKS)
                 blocks = self._stored(fresh, spark) if (number + 1) % REFRESH == 0 else fresh.persist()
         blocks.unpersist()
-        state = {"base": base, "depth": of(self.maxDepth), "edges": [e.tolist() for e in edges],
-                 "trees": [t.to_list() for t in trees]}
-        return BoosterModel(state=json.dumps(state)), trees
+        return self._model(base, edges, trees), trees
+
+    def _model(self, base, edges, trees):
+        return BoosterModel(state=json.dumps({
+            "base": base, "depth": self.getOrDefault(self.maxDepth), "edges": [e.tolist() for e in edges],
+            "trees": [t.to_list() for t in trees]}))
+
+    def _from_cells(self, cells, edges, step, base):
+        of = self.getOrDefault
+        margin, trees = np.full(cells.bins.shape[1], base), []
+        seed, rate = of(self.seed), of(self.subsamplingRate)
+        for number in range(of(self.maxIter)):
+            def draw(key, number=number):
+                return drawn_rows(key, seed, number, rate)
+            g, h = cells.sums(margin, step, {number: draw})[number]
+            tree = self._cut(cells.level(g, h), edges, step, number)
+            trees.append(tree)
+            margin = margin + tree.scores(cells.bins)
+        return trees
 
     @staticmethod
-    def _stored(blocks: DataFrame, spark) -> DataFrame:
+    def _stored(blocks: DataFrame, spark, parts: int | None = None) -> DataFrame:
         """Written where every executor reads it; the cached copy is a shortcut."""
         path = scratch_path(spark, "booster_blocks")
         blocks.write.parquet(path)
-        return spark.read.parquet(path).persist()
+        back = spark.read.parquet(path)
+        return (back.repartition(parts) if parts else back).persist()
 
     def _grow(self, blocks, width, edges, step, number, old=None, lone=False):
         """One tree. ``old`` are the blocks of the tree before, let go once
         the first pass has filled the new ones; ``lone`` blocks (one part) need
         no exchange of sums."""
         of = self.getOrDefault
-        lam, depth, rate = of(self.regLambda), of(self.maxDepth), of(self.stepSize)
-        columns = drawn_columns(width, of(self.seed), number, of(self.columnRate))
-        cells = max(len(edges[c]) for c in columns) + 2
-        tree = Tree(depth)
-        alive = {0}
-        for level in range(depth):
+        before = [old]
+
+        def passed(tree, level, columns, cells):
             tally = _tally(tree, level, columns, width, cells, step, of(self.seed), number, of(self.subsamplingRate))
             sums = blocks.mapInArrow(tally, SUMS)
             found = ((sums.coalesce(1) if lone else sums).groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
                      .toPandas())
-            if old is not None:
-                old.unpersist()
-                old = None
+            if before[0] is not None:
+                before[0].unpersist()
+                before[0] = None
             g, h = (np.zeros((2 ** level, len(columns), cells), np.int64) for _ in range(2))
             g.ravel()[found["slot"]], h.ravel()[found["slot"]] = found["g"], found["h"]
+            return g, h
+
+        return self._cut(passed, edges, step, number)
+
+    def _cut(self, sums_of, edges, step, number):
+        """One tree, level by level; ``sums_of`` gives a level's sums of
+        gradients and rows per (node, column, bin)."""
+        of = self.getOrDefault
+        lam, depth, rate = of(self.regLambda), of(self.maxDepth), of(self.stepSize)
+        columns = drawn_columns(len(edges), of(self.seed), number, of(self.columnRate))
+        cells = max(len(edges[c]) for c in columns) + 2
+        tree = Tree(depth)
+        alive = {0}
+        for level in range(depth):
+            g, h = sums_of(tree, level, columns, cells)
             after = set()
             for node in sorted(alive):
                 k = node - (2 ** level - 1)
                 node_g = g[k] / step
                 tree.g[node], tree.h[node] = node_g[0].sum(), h[k][0].sum()
-                tree.value[node] = -rate * tree.g[node] / (tree.h[node] + lam)
+                tree.value[node] = -rate * tree.g[node] / ((tree.h[node] + lam) or 1.0)
                 best = best_split(node_g, h[k], lam, of(self.minChild)) if tree.h[node] else None
                 if best is None:
                     continue
@@ -382,6 +578,50 @@ class HistogramBooster(Estimator, _BoosterParams, DefaultParamsReadable, Default
         return tree
 
 
+def bootstrap(key, seed: int, tree: int):
+    """How often each row key is in the tree's bootstrap sample (Poisson, mean 1)."""
+    salt = mix32((seed * 1_000_003 + tree) & 0xFFFFFFFF)
+    return np.searchsorted(_POISSON, mix32(key.astype(np.uint64) ^ salt).astype(np.float64) / 2 ** 32, side="right")
+
+
+_POISSON = np.cumsum([np.exp(-1.0) / math.factorial(i) for i in range(13)])
+
+
+class HistogramForest(HistogramBooster):
+    """A regression forest (``maxIter`` trees on bootstrap samples, all columns
+    at every node). The sums per cell of ``TREES_A_PASS`` trees come from one
+    pass over the rows. Rows with more than ``MAX_CELLS`` different bins go to
+    Spark's own forest of the same settings."""
+
+    TREES_A_PASS = 10
+
+    def _fit(self, dataset):
+        of = self.getOrDefault
+        rows, n, _, step, base, edges = self._start(dataset)
+        cells = Cells.of(rows, edges, n) if n else None
+        if n and cells is None:
+            label = F.col(of(self.labelCol)).cast("double")
+            return RandomForestRegressor(
+                numTrees=of(self.maxIter), featureSubsetStrategy="all", maxDepth=of(self.maxDepth),
+                maxBins=of(self.maxBins), seed=of(self.seed), featuresCol=of(self.featuresCol),
+                labelCol=of(self.labelCol), predictionCol=of(self.predictionCol)).fit(
+                    dataset.filter(label.isNotNull() & ~F.isnan(label) & (F.abs(label) < float("inf"))))
+        if not n:
+            return self._copyValues(self.grown(dataset)[0])
+        step /= 16.0     # a row may be taken that often
+        seed, total = of(self.seed), of(self.maxIter)
+        margin, trees = np.full(cells.bins.shape[1], base), []
+        for first in range(0, total, self.TREES_A_PASS):
+            some = range(first, min(first + self.TREES_A_PASS, total))
+            draws = {t: functools.partial(bootstrap, seed=seed, tree=t) for t in some}
+            for t, (g, h) in sorted(cells.sums(margin, step, draws).items()):
+                tree = self._cut(cells.level(g, h), edges, step, t)
+                tree.value /= total
+                trees.append(tree)
+        cells.blocks.unpersist()
+        return self._copyValues(self._model(base, edges, trees))
+
+
 class BoosterModel(Model, _BoosterParams, DefaultParamsReadable, DefaultParamsWritable):
     """Base value plus the trees' leaf values, by Arrow batches."""
 

@@ -103,3 +103,40 @@ def test_in_the_model_pipeline(spark):
     scored = MD.build_pipeline(("quantity", "discount", "tax"), booster).fit(r).transform(r)
     err, var = scored.agg(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)), F.var_pop("label")).first()
     assert err < 0.1 * var
+
+
+def test_cells_give_the_trees_of_level_passes(spark, monkeypatch):
+    r = spark.range(3000).select(
+        F.col("id"), F.array((F.col("id") % 50).cast("double"), F.when(F.col("id") % 13 != 0, (F.col("id") % 11).cast("double")))
+        .alias("features"), (F.col("id") % 50 + 3 * (F.col("id") % 7)).cast("double").alias("label"))
+    edges = [[i + 0.5 for i in range(49)], [i + 0.5 for i in range(10)]]
+    booster = B.HistogramBooster(maxIter=5, stepSize=0.3, maxDepth=4, subsamplingRate=0.8, columnRate=0.5, idCol="id", edges=edges)
+    with monkeypatch.context() as m:
+        m.setattr(B, "MAX_CELLS", 0)
+        by_level = [t.to_list() for t in booster.grown(r)[1]]
+    passes = []
+    with monkeypatch.context() as m:
+        # a pass a tree, none a level
+        m.setattr(B, "_tally", lambda *a: 1 / 0)
+        sums = B.Cells.sums
+        m.setattr(B.Cells, "sums", lambda *a: passes.append(1) or sums(*a))
+        few = booster.grown(r)[1]
+        assert [t.to_list() for t in few] == by_level and len(passes) == 5
+        m.setattr(B, "DRIVER_SUMS", 0)
+        assert [t.to_list() for t in booster.grown(r)[1]] == by_level
+
+
+def test_forest_of_bootstrap_samples(spark, monkeypatch):
+    r = spark.range(2000).select("id", F.array((F.col("id") % 20).cast("double")).alias("features"),
+                                 F.when(F.col("id") % 100 != 99, (F.col("id") % 20) ** 2).cast("double").alias("label"))
+    forest = B.HistogramForest(maxIter=12, stepSize=1.0, maxDepth=10, maxBins=32, regLambda=0.0, idCol="id")
+    model = forest.fit(r)
+    worst = model.transform(r).agg(F.max(F.abs(F.col("prediction") - F.col("label")))).first()[0]
+    assert worst < 1e-6        # every sample has all values, and a value has one label
+    key = np.random.default_rng(0).integers(0, 2 ** 32, 20000).astype(np.uint32)
+    taken = B.bootstrap(key, 42, 0)
+    assert abs(taken.mean() - 1) < 0.03 and abs(taken.var() - 1) < 0.05
+    from pyspark.ml.functions import array_to_vector
+    monkeypatch.setattr(B, "MAX_CELLS", 0)
+    v = r.withColumn("features", array_to_vector("features"))
+    assert type(forest.fit(v)).__name__ == "RandomForestRegressionModel"
