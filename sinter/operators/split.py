@@ -80,7 +80,22 @@ def rank_cut(df: DataFrame, order: Order, rank: int, n: int) -> Cut:
     return _among([(tuple(r["v"]), r["count"]) for r in rows], rank, below)
 
 
-def label_ranks(df: DataFrame, order, ends, name: str, n: int) -> DataFrame:
+def hash_cut(hash_col: str):
+    """``rank_cut`` of an order that starts with a hash as hex text: one count
+    by its first four digits leaves so few rows that no pivots are needed."""
+    def cut(df: DataFrame, order: Order, rank: int, n: int) -> Cut:
+        head, below = F.substr(hash_col, F.lit(1), F.lit(4)), 0
+        counts = {r["head"]: r["count"] for r in df.groupBy(head.alias("head")).count().collect()}
+        for h in sorted(counts, key=lambda v: (v is not None, v)):
+            if below + counts[h] >= rank:
+                break
+            below += counts[h]
+        found = rank_cut(df.filter(head.eqNullSafe(F.lit(h))), order, rank - below, counts[h])
+        return Cut(found.value, found.below + below, found.same)
+    return cut
+
+
+def label_ranks(df: DataFrame, order, ends, name: str, n: int, find=rank_cut) -> DataFrame:
     """Label rows by rank: ``ends`` are (label, last rank), in order. Rows
     that share the order value at an end are told apart by their other
     columns; only those rows are numbered."""
@@ -88,7 +103,7 @@ def label_ranks(df: DataFrame, order, ends, name: str, n: int) -> DataFrame:
     cuts = []
     for label, last in ends:
         if 0 < last and (not cuts or last > cuts[-1][1]):
-            cuts.append((label, last, rank_cut(df, o, last, n) if last < n else None))
+            cuts.append((label, last, find(df, o, last, n) if last < n else None))
 
     def labels(reached) -> Column:
         out = None
@@ -158,7 +173,7 @@ def seeded_split(df: DataFrame, row_id: str, test_frac: float = 0.3, seed: int =
     rows are labelled where they lie."""
     n = df.count() if n is None else n
     x = df.withColumn("_h", hash_key(row_id, seed))
-    return label_ranks(x, ["_h", row_id], [("test", n_test_of(n, test_frac)), ("train", n)], name, n).drop("_h")
+    return label_ranks(x, ["_h", row_id], [("test", n_test_of(n, test_frac)), ("train", n)], name, n, hash_cut("_h")).drop("_h")
 
 
 def cap_rows(df: DataFrame, max_rows: int, rn: str = "row_number",

@@ -1,6 +1,7 @@
 """Splits by rank selection equal a sort, with ties, nulls and hot values."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sinter.operators import sequence as SQ, split as SP
 
@@ -84,3 +85,21 @@ def test_order_literals_of_every_type(spark):
     o = SQ.Order.of(df, names)
     got = [tuple(r["v"]) for r in df.select(o.value.alias("v")).orderBy("v").collect()]
     assert df.select(o.position(got).alias("p")).orderBy("p").toPandas().p.tolist() == list(range(1, len(rows) + 1))
+
+
+def test_hash_cut_is_the_rank_cut(spark):
+    from sinter.operators.sequence import Order
+    # hashes that share their first digits, one that many rows share, and none
+    x = spark.range(3000).select(
+        F.when(F.col("id") % 7 == 0, F.lit("00ff12")).when(F.col("id") % 11 != 0, F.md5(F.col("id").cast("string"))).alias("_h"), "id")
+    x = x.withColumn("id", F.when(F.col("id") % 14 == 0, 1).otherwise(F.col("id")))
+    o = Order.of(x, ["_h", "id"])
+    for rank in (1, 150, 240, 400, 700, 2999, 3000):
+        assert SP.hash_cut("_h")(x, o, rank, 3000) == SP.rank_cut(x, o, rank, 3000)
+
+
+def test_seeded_split_looks_at_few_rows_only_after_one_count(spark, monkeypatch):
+    monkeypatch.setattr(SP, "FEW", 64)
+    monkeypatch.setattr(SP, "_pivots", lambda *a: 1 / 0)
+    s = SP.seeded_split(spark.range(20000), "id", test_frac=0.3)
+    assert s.filter("split = 'test'").count() == 6000
