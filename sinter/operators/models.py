@@ -17,11 +17,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sinter.functions import metrics as M
-from sinter.operators.boosting import HistogramBooster
+from sinter.operators.boosting import HistogramBooster, HistogramForest
 from sinter.operators.features import apply_standardiser, fit_standardiser, imputer, one_hot_stages
 
 # The reference's model settings.
@@ -42,13 +42,14 @@ def model_specs(grid: str = "union", rf_depth: int = 12, max_bins: int = 32,
     (100 x 0.3, depth 6). Spark trees stop at depth 30; the reference grows
     forests to purity, so the forest depth is a parameter.
     """
-    mem = 256  # MiB of node statistics per task and pass (Spark default)
+    def forest(trees):
+        return HistogramForest(maxIter=trees, stepSize=1.0, maxDepth=rf_depth, maxBins=max_bins, regLambda=0.0,
+                               seed=RF_SEED, idCol=id_col)
+
     if grid == "union":
         trees = rf_trees or RF_TREES
         return {
-            "RandomForest": lambda: RandomForestRegressor(
-                numTrees=trees, featureSubsetStrategy="all", maxDepth=rf_depth,
-                maxBins=max_bins, maxMemoryInMB=mem, seed=RF_SEED),
+            "RandomForest": lambda: forest(trees),
             "GradientBoosting": lambda: GBTRegressor(
                 maxIter=GB_TREES, stepSize=GB_RATE, maxDepth=GB_DEPTH, maxBins=max_bins, seed=RF_SEED),
             "XGBoost": lambda: HistogramBooster(
@@ -58,9 +59,7 @@ def model_specs(grid: str = "union", rf_depth: int = 12, max_bins: int = 32,
     if grid == "conformal":
         trees = rf_trees or 100
         return {
-            "RandomForest": lambda: RandomForestRegressor(
-                numTrees=trees, featureSubsetStrategy="all", maxDepth=rf_depth,
-                maxBins=max_bins, maxMemoryInMB=mem, seed=RF_SEED),
+            "RandomForest": lambda: forest(trees),
             "XGB": lambda: GBTRegressor(maxIter=100, stepSize=0.3, maxDepth=6,
                                         maxBins=max_bins, seed=RF_SEED),
         }

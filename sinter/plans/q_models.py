@@ -152,7 +152,7 @@ def compare_models(spark, sf_dir):
 @register("forest_model", _SPLIT_SIZES.format(models="('RandomForest')"), covers=("M4", "M5", "M10"))
 def forest_model(spark, sf_dir):
     """The conformal grid's forest (100 trees) on the seeded split."""
-    specs = {"RandomForest": MD.model_specs("conformal", rf_depth=8)["RandomForest"]}
+    specs = {"RandomForest": MD.model_specs("conformal", rf_depth=8, id_col="row_id")["RandomForest"]}
     return MD.checkable(MD.compare(_seeded_regression(spark, sf_dir), FEATURES, label="label",
                                    cluster="cluster", specs=specs, method="returnflag", period="all"))
 
