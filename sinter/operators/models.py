@@ -50,8 +50,8 @@ def model_specs(grid: str = "union", rf_depth: int = 12, max_bins: int = 32,
         trees = rf_trees or RF_TREES
         return {
             "RandomForest": lambda: forest(trees),
-            "GradientBoosting": lambda: GBTRegressor(
-                maxIter=GB_TREES, stepSize=GB_RATE, maxDepth=GB_DEPTH, maxBins=max_bins, seed=RF_SEED),
+            "GradientBoosting": lambda: HistogramBooster(
+                maxIter=GB_TREES, stepSize=GB_RATE, maxDepth=GB_DEPTH, maxBins=max_bins, regLambda=0.0, seed=RF_SEED),
             "XGBoost": lambda: HistogramBooster(
                 maxIter=XGB_TREES, stepSize=XGB_RATE, maxDepth=6, subsamplingRate=XGB_SUBSAMPLE,
                 columnRate=XGB_COLSAMPLE, seed=RF_SEED, idCol=id_col),

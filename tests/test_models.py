@@ -34,3 +34,13 @@ def test_seeded_split_is_exact_and_stable(spark):
     n = ev.count()
     assert a.count() == -(-3 * n // 10)
     assert a.exceptAll(b).count() == 0
+
+
+def test_boosting_defaults_take_one_pass_a_tree(spark, monkeypatch):
+    from sinter.operators import boosting as BO
+    passes, sums = [], BO.Cells.sums
+    monkeypatch.setattr(BO.Cells, "sums", lambda *a: passes.append(1) or sums(*a))
+    r = SP.seeded_split(FX.planted_regression(spark, SMALL), "row_id", test_frac=0.3, seed=42).cache()
+    specs = {"GradientBoosting": MD.model_specs("union")["GradientBoosting"]}
+    row = MD.compare(r, ("quantity", "discount", "tax"), specs=specs).first()
+    assert len(passes) == MD.GB_TREES and row["r2"] > 0.9
