@@ -73,27 +73,31 @@ def multi_file_union(spark, sf_dir):
 
 _JUNK = ["Relatorio de processo", "Gerado automaticamente", "Unidade: linha 1",
          "Periodo: completo", "---"]
+EXPORT_ROWS = 1 << 18
 
 
 def _preamble_files(spark, sf_dir):
-    """One export per event month; every second one orders its columns
+    """One export per event month, cut into files of about ``EXPORT_ROWS``
+    rows, each with its own preamble; every second month orders its columns
     differently."""
     ev = FX.table(spark, sf_dir, "events").withColumn("fk", F.month("ts"))
+    most = max([r["count"] for r in ev.groupBy("fk").count().collect()], default=1)
+    ev = ev.withColumn("cut", F.pmod(F.xxhash64("event_id"), F.lit(-(-most // EXPORT_ROWS))).cast("int"))
     names = ["event_id", "ts", "event_type", "value"]
     cells = [F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("event_type"),
              FX.decimal_text("value")]
     body = ev.select(
-        "fk", F.lit(len(_JUNK) + 1).alias("ord"), F.when(F.col("fk") % 2 == 0, F.concat_ws(";", *cells))
+        "fk", "cut", F.lit(len(_JUNK) + 1).alias("ord"), F.when(F.col("fk") % 2 == 0, F.concat_ws(";", *cells))
         .otherwise(F.concat_ws(";", *cells[::-1])).alias("value"))
     lines = [(i, t) for i, t in enumerate(_JUNK)]
     head = (len(_JUNK), F.when(F.col("fk") % 2 == 0, F.lit(";".join(names))).otherwise(F.lit(";".join(names[::-1]))))
-    pre = ev.select("fk").distinct().select(
-        "fk",
+    pre = ev.select("fk", "cut").distinct().select(
+        "fk", "cut",
         F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), (t if i == len(_JUNK) else F.lit(t)).alias("value"))
-                            for i, t in [*lines, head]])).alias("l")).select("fk", "l.ord", "l.value")
+                            for i, t in [*lines, head]])).alias("l")).select("fk", "cut", "l.ord", "l.value")
     path = scratch_path(spark, "preamble_export")
-    (body.unionByName(pre).repartition("fk").sortWithinPartitions("fk", "ord")
-     .select("fk", "value").write.partitionBy("fk").text(path))
+    (body.unionByName(pre).repartition("fk", "cut").sortWithinPartitions("fk", "cut", "ord")
+     .select("fk", "cut", "value").write.partitionBy("fk", "cut").text(path))
     return path
 
 

@@ -3,6 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from sinter.sources import delimited as D, sinks as K
 
 
@@ -92,3 +93,14 @@ def test_a_saved_pipeline_scores_the_same(spark, tmp_path):
     K.save_model(fitted, path)
     before = [r.prediction for r in fitted.transform(rows).orderBy("a").collect()]
     assert [r.prediction for r in K.load_model(path).transform(rows).orderBy("a").collect()] == before
+
+
+def test_preamble_exports_have_bounded_files(spark, monkeypatch):
+    """Events of one month make more files as they get more, each with a preamble."""
+    from sinter.plans import q_sources as Q
+    before = Q.preamble_scan(spark, SMALL).orderBy("event_id").collect()
+    monkeypatch.setattr(Q, "EXPORT_ROWS", 100)
+    path = Q._preamble_files(spark, SMALL)
+    files = spark.read.text(path).groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 10 and max(r["count"] for r in files) < 300
+    assert Q.preamble_scan(spark, SMALL).orderBy("event_id").collect() == before
