@@ -27,7 +27,8 @@ default column edges come from a quantile sketch and may move with the
 partitioning; pass ``edges`` to fix them). Without ``idCol`` row keys are
 numbers given when the blocks are written.
 
-Rows whose label is null or not finite take no part. A table without rows
+Rows whose label is null or not finite take no part, or are refused
+(``strict``). A table without rows
 gives a model that predicts 0.
 """
 
@@ -397,12 +398,13 @@ class _BoosterParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     minChild = Param(Params._dummy(), "minChild", "least rows of a child", TypeConverters.toFloat)
     seed = Param(Params._dummy(), "seed", "seed of the samples", TypeConverters.toInt)
     idCol = Param(Params._dummy(), "idCol", "unique row key, for repeatable samples", TypeConverters.toString)
+    strict = Param(Params._dummy(), "strict", "refuse labels that are null or not finite", TypeConverters.toBoolean)
     edges = Param(Params._dummy(), "edges", "ascending bin edges by column", TypeConverters.identity)
 
     def __init__(self):
         super().__init__()
         self._setDefault(maxIter=100, stepSize=0.3, maxDepth=6, maxBins=255, subsamplingRate=1.0, columnRate=1.0,
-                         regLambda=1.0, minChild=1.0, seed=42, idCol="", edges=None)
+                         regLambda=1.0, minChild=1.0, seed=42, idCol="", edges=None, strict=False)
 
     def setFeaturesCol(self, value):
         return self._set(featuresCol=value)
@@ -420,7 +422,7 @@ class HistogramBooster(Estimator, _BoosterParams, DefaultParamsReadable, Default
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", maxIter=100,
                  stepSize=0.3, maxDepth=6, maxBins=255, subsamplingRate=1.0, columnRate=1.0, regLambda=1.0,
-                 minChild=1.0, seed=42, idCol="", edges=None):
+                 minChild=1.0, seed=42, idCol="", edges=None, strict=False):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
@@ -453,6 +455,8 @@ class HistogramBooster(Estimator, _BoosterParams, DefaultParamsReadable, Default
         """The rows, their number and last part, the step of rounded
         gradients, the mean label and the columns' edges."""
         rows = self._rows(dataset)
+        if self.getOrDefault(self.strict) and rows.count() < dataset.count():
+            raise ValueError("labels must not be null, NaN or infinite")
         n, top, width, parts = rows.withColumn("part", F.spark_partition_id()).agg(
             F.count(F.lit(1)), F.max(F.abs("label")), F.max(F.size("x")), F.max("part")).first()
         if not n:

@@ -44,14 +44,15 @@ def model_specs(grid: str = "union", rf_depth: int = 12, max_bins: int = 32,
     """
     def forest(trees):
         return HistogramForest(maxIter=trees, stepSize=1.0, maxDepth=rf_depth, maxBins=max_bins, regLambda=0.0,
-                               seed=RF_SEED, idCol=id_col)
+                               seed=RF_SEED, idCol=id_col, strict=True)
 
     if grid == "union":
         trees = rf_trees or RF_TREES
         return {
             "RandomForest": lambda: forest(trees),
             "GradientBoosting": lambda: HistogramBooster(
-                maxIter=GB_TREES, stepSize=GB_RATE, maxDepth=GB_DEPTH, maxBins=max_bins, regLambda=0.0, seed=RF_SEED),
+                maxIter=GB_TREES, stepSize=GB_RATE, maxDepth=GB_DEPTH, maxBins=max_bins, regLambda=0.0, seed=RF_SEED,
+                strict=True),
             "XGBoost": lambda: HistogramBooster(
                 maxIter=XGB_TREES, stepSize=XGB_RATE, maxDepth=6, subsamplingRate=XGB_SUBSAMPLE,
                 columnRate=XGB_COLSAMPLE, seed=RF_SEED, idCol=id_col),

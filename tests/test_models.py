@@ -1,4 +1,5 @@
 """Model pipeline properties on the planted regression (sf0.001)."""
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -44,3 +45,11 @@ def test_boosting_defaults_take_one_pass_a_tree(spark, monkeypatch):
     specs = {"GradientBoosting": MD.model_specs("union")["GradientBoosting"]}
     row = MD.compare(r, ("quantity", "discount", "tax"), specs=specs).first()
     assert len(passes) == MD.GB_TREES and row["r2"] > 0.9
+
+
+def test_forest_and_boosting_refuse_missing_labels(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, 0, "train"), (2, 2.0, None, 0, "train"), (3, 2.0, 1.0, 0, "test")],
+                               "row_id int, q double, label double, cluster int, split string")
+    for name in ("RandomForest", "GradientBoosting"):
+        with pytest.raises(ValueError, match="labels"):
+            MD.compare(df, ("q",), specs={name: MD.model_specs("union", rf_trees=2)[name]})
