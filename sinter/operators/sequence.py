@@ -154,7 +154,8 @@ class Ranges:
         self.n = len(bounds) + 1
         self.value = o.value
         self.where = df.withColumns({_KEY: F.col(key) if key else F.lit(0), _PID: o.position(bounds).cast("int")})
-        self.rows = self.where.repartitionById(self.n, F.col(_PID)) if bounds else self.where.coalesce(1)
+        # one range is exchanged too: coalesced, its task would run all that leads to the rows as well
+        self.rows = self.where.repartitionById(self.n, F.col(_PID)) if bounds else self.where.repartition(1)
         if bounds and key:
             enc, t = _encoded(df, [key])[0]
             at = F.expr(f"array({', '.join(typed(b[0], t) for b in bounds)})")
